@@ -51,14 +51,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def normal(text: Column) -> Column:
-    """The words of a text, lower-cased, with one space between; empty for null."""
-    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
-
-
-def words_of(norm: Column) -> Column:
-    """Array of words of a text that ``normal`` made."""
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+def words_of(text: Column) -> Column:
+    """Array of the lower-cased words of a text; empty for null. One pass of the separators' pattern."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

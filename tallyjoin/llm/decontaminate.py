@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-1. Count, over the whole corpus, every term that a benchmark item uses.
+1. Count, over the whole corpus, the texts of every term that a benchmark item uses.
 2. In each window of an item take its two rarest terms; only these terms' postings (text, position) are stored.
 3. Shift each posting by the term's place in the item: both terms of a window must meet on one shifted place (phrase), or
    within a slop of each other (proximity).
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.common import bounded, cut, normal, words_of
+from tallyjoin.llm.common import bounded, cut, words_of
 
 #: Words of a window; anchors of a window; rows of the benchmark's tables and of candidates that may be broadcast.
 WINDOW, ANCHORS = 13, 2
@@ -34,25 +34,29 @@ class Index:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), words_of(normal(F.col("text"))).alias("words"))
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words"))
 
 
 def benchmark_items(bench: DataFrame) -> DataFrame:
     """key, id and words of each different item that has words."""
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), words_of(normal(F.col("text"))).alias("words"))
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), words_of(F.col("text")).alias("words"))
     return items.where(F.size("words") > 0).distinct().withColumn("key", F.sha1(F.concat_ws(" ", "id", F.array_join("words", " "))))
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """term, n: how often each term of the items occurs in the corpus. Map-side sums; terms that never occur are left out."""
-    terms = bounded(items.select(F.explode("words").alias("term")).distinct(), TERM_ROWS)
-    return _rows(docs).select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """term, n: texts of the corpus that hold each term of the items; terms of no text are left out.
+
+    Terms are 64-bit hashes in the index: should two share one, a list is longer, and the verification drops what is wrong.
+    """
+    terms = bounded(items.select(F.explode("words").alias("term")).select(F.xxhash64("term").alias("term")).distinct(), TERM_ROWS)
+    found = _rows(docs).select(F.explode(F.array_distinct("words")).alias("term")).select(F.xxhash64("term").alias("term"))
+    return found.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_index(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Index:
     items = cut(benchmark_items(bench))
     counts = cut(term_counts(docs, items))
-    at = items.select("key", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
+    at = items.select("key", F.posexplode("words").alias("at", "term")).withColumn("term", F.xxhash64("term")).join(counts, "term", "left")
     ranks = at.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("ranks"))
     length = F.least(F.size("words"), F.lit(window))
 
@@ -64,8 +68,8 @@ def build_index(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Inde
     windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("words") - length), one), lambda w: w["n"] > 0)
     items = cut(items.join(ranks, "key").withColumn("windows", windows).where(F.size("windows") > 0).select("key", "id", "words", "windows"))
     used = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["anchors"])))
-    anchors = items.select("key", "words", F.explode(used).alias("at")).select("key", "at", F.get("words", F.col("at")).alias("term"))
-    found = _rows(docs).select("doc_id", "hash", F.posexplode("words").alias("pos", "term"))
+    anchors = items.select("key", "words", F.explode(used).alias("at")).select("key", "at", F.xxhash64(F.get("words", F.col("at"))).alias("term"))
+    found = _rows(docs).select("doc_id", "hash", F.posexplode("words").alias("pos", "term")).withColumn("term", F.xxhash64("term"))
     postings = found.join(bounded(anchors, TERM_ROWS), "term").select("doc_id", "hash", "key", "at", (F.col("pos") - F.col("at")).alias("shifted"))
     return Index(items, anchors, postings)
 

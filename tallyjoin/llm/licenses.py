@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.common import normal, words_of
+from tallyjoin.llm.common import words_of
 
 
 @dataclass(frozen=True)
@@ -86,8 +86,7 @@ def _places(words: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, words' number, places of base phrases, the method's labels with the share of a template's IDF found in line."""
-    norm = docs.select("doc_id", normal(F.col("text")).alias("_norm"))
-    df = norm.withColumn("words", words_of(F.col("_norm")))
+    df = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     total, counts = document_frequencies(df, templates)
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary(templates)}
     # Words in over half of all texts say nothing about licences.
@@ -96,7 +95,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     mass = [sum(idf[w] for w in {*t.text.split()} & {*rare}) or 1.0 for t in templates]
 
     none = F.array().cast("array<struct<start:int,label:string>>")
-    df = df.withColumn("places", F.when(F.contains("_norm", F.lit("license")), _places(F.col("words"))).otherwise(none))
+    df = df.withColumn("places", F.when(F.array_contains("words", "license"), _places(F.col("words"))).otherwise(none))
     labels = F.array().cast("array<struct<label:string,share:double>>")
     if rare:
         # array_intersect keeps the order of its first argument: rarest first.
@@ -107,7 +106,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
         votes = F.flatten(F.transform(hits, lambda h: F.transform(index[h["w"]]["at"], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("at"), h["w"].alias("w"), index[h["w"]]["idf"].alias("idf")))))
         empty = F.array().cast("array<struct<t:int,at:int,w:string,idf:double>>")
         df = df.withColumn("_votes", F.when(F.size("_top") >= AGREEING, votes).otherwise(empty))
-        padded = F.concat(F.lit(" "), F.col("_norm"), F.lit(" "))
+        padded = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
 
         def share(t: int) -> Column:
             """The largest share of a template's IDF that agrees on one place, 0 where too few words do."""
