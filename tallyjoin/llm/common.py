@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,23 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _importable(spark: SparkSession) -> None:
+    """In local mode, let Python workers import this package wherever the driver was started. Clusters have it installed."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if not context.master.startswith("local[") or str(root) in known or "site-packages" in str(root) or getattr(context, "_tallyjoin", False):
+        return
+    archive = f"{tempfile.mkdtemp(prefix='tallyjoin-')}/tallyjoin.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted((root / "tallyjoin").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    context.addPyFile(archive)
+    context._tallyjoin = True
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep the batches that go to Python small, as one text may be long."""
+    """Before Python runs on executors: keep the batches it gets small, as one text may be long."""
+    _importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyjoin.llm.bpe import token_digest
 from tallyjoin.llm.common import table
 from tallyjoin.llm.decontaminate import contamination_digest
 from tallyjoin.llm.hash_tree import Tree, shard_documents
+from tallyjoin.llm.language import language_query
 from tallyjoin.llm.licenses import license_digest
 from tallyjoin.llm.secrets import secret_digest
+from tallyjoin.llm.toxicity import toxicity_query
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +52,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op6_license_scan, op9_secret_scan, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_byte_bpe, op6_license_scan, op9_secret_scan, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
