@@ -12,6 +12,8 @@ from tallyjoin.llm.decontaminate import contamination_digest
 from tallyjoin.llm.hash_tree import Tree, shard_documents
 from tallyjoin.llm.language import language_query
 from tallyjoin.llm.licenses import license_digest
+from tallyjoin.llm.parity_join import components_query
+from tallyjoin.llm.quality import quality_query
 from tallyjoin.llm.secrets import secret_digest
 from tallyjoin.llm.toxicity import toxicity_query
 
@@ -24,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_query(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +62,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_language_id, op5_byte_bpe, op6_license_scan, op9_secret_scan, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op9_secret_scan, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
