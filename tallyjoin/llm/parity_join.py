@@ -30,8 +30,13 @@ from tallyjoin.llm.common import bounded, cut, shared_folder, small_batches
 
 #: Words of a shingle and the similarity of a link, in hundredths.
 WORDS, PERCENT = 4, 85
-#: 64-bit words of the dense sketch; rounds of tests against centres; members that share one copy of a centre; ids broadcast.
-DENSE, STARS, SALT, ID_ROWS = 8, 2, 2000, 2_000_000
+#: 64-bit words of the dense sketch; members that share one copy of a centre; ids that may be broadcast.
+DENSE, SALT, ID_ROWS = 8, 2000, 2_000_000
+#: Rounds of tests against centres before all pairs still apart are tested: how many centres a node is held against in each,
+#: and how many of a node's buckets and of a bucket's centres are looked at for them.
+STARS, STAR_KEYS, STAR_CENTRES = (1, 3), 4, 4
+#: Earlier keys that a row carries in the last round.
+PRIOR_KEYS = 16
 
 U = np.uint64
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -219,7 +224,6 @@ def connected(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size.
     """
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
     while True:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -227,10 +231,11 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         tree = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(tree.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0])
-        if now == mark:
+        # Done when every node hangs from one root and no root hangs from another.
+        roots = tree.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
+        n = tree.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(roots, "u", "left").where("n > 1 OR root = 1")
+        if n.isEmpty():
             return tree.withColumnsRenamed({"u": "node", "v": "label"})
-        mark = now
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -245,10 +250,11 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = stored(buckets.select("key", "node").distinct(), folder, "buckets")
     involved = buckets.select("node").distinct()
     sketches = cut(leads.join(involved, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
-    chosen = rows.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"))
+    chosen = cut(least.join(involved, "node", "left_semi").withColumnRenamed("own", "_id"))
 
     edges, tested, labels = None, None, None
-    for turn in range(STARS + 1):
+    for turn in range(len(STARS) + 1):
         parts = buckets
         if labels is not None:
             parts = parts.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -256,7 +262,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             parts = cut(parts.join(span, "key", "left_semi"))
         else:
             parts = parts.withColumn("label", F.col("node"))
-        pairs = _against_centres(parts, turn) if turn < STARS else _apart(parts, sketches, percent)
+        pairs = _against_centres(parts, turn) if turn < len(STARS) else _apart(parts, sketches, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "centre"], "left_anti")
         a, b = sketches.alias("a"), sketches.alias("b")
@@ -265,14 +271,13 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if pairs.isEmpty():
             continue
         needed = pairs.select("a").union(pairs.select("centre")).distinct().withColumnRenamed("a", "node")
-        ids = bounded(chosen.join(needed, "node", "left_semi").withColumnRenamed("doc_id", "_id"), ID_ROWS)
+        ids = bounded(chosen.join(needed, "node", "left_semi"), ID_ROWS)
         node_texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
         found = cut(verified(pairs, node_texts, words, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected(edges.select("a", F.col("centre").alias("b")))
 
-    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"))
     if labels is not None:
         least = least.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "own")
         group = least.groupBy("label").agg(F.min("own").alias("component_id"))
@@ -290,23 +295,34 @@ def _by(key: str):
 
 
 def _against_centres(parts: DataFrame, turn: int) -> DataFrame:
-    """(a, centre): each node with the one of its buckets' centres that it shares most buckets with and is apart from.
+    """(a, centre): nodes with those of their buckets' centres that they share most buckets with and are apart from.
 
-    The centre of a bucket is its least node in an order that changes with the turn.
+    Centres of a bucket are its least nodes in an order that changes with the turn. Which buckets are looked at is no matter
+    of correctness, as all pairs still apart are tested at last.
     """
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label"))
-    centres = parts.groupBy("key").agg(F.min(rank).alias("c"))
-    met = parts.join(centres, "key").where(F.col("label") != F.col("c.label")).select(F.col("node").alias("a"), F.col("c.node").alias("centre"))
+    some = _by("node").orderBy(F.xxhash64("key", F.lit(turn)), "key")
+    probes = parts.withColumn("k", F.row_number().over(some)).where(F.col("k") <= STAR_KEYS).drop("k")
+    order = _by("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    centres = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= (1 if STARS[turn] == 1 else STAR_CENTRES))
+    centres = centres.select("key", F.col("node").alias("centre"), F.col("label").alias("other"))
+    met = probes.join(centres, "key").where("label <> other").select(F.col("node").alias("a"), "centre")
+    best = _by("a").orderBy(F.desc("n"), "centre")
     shared = met.groupBy("a", "centre").agg(F.count(F.lit(1)).alias("n"))
-    return shared.groupBy("a").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+    return shared.withColumn("k", F.row_number().over(best)).where(F.col("k") <= STARS[turn]).select("a", "centre")
 
 
 def _apart(parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, centre): all pairs of a bucket whose groups differ; sizes and sketches are compared inside the join."""
-    held = parts.join(sketches, "node")
+    """(a, centre): all pairs of a bucket whose groups differ; sizes and sketches are compared inside the join.
+
+    A pair that shares many buckets is to come out of few: at each it is passed over if the keys just before, of which either
+    node carries some, have one in common. At the least common key nothing before is common, so no pair is lost.
+    """
+    before = _by("node").orderBy("key").rowsBetween(-PRIOR_KEYS, -1)
+    held = parts.withColumn("prior", F.collect_list("key").over(before)).join(sketches, "node")
     a, b = held.alias("a"), held.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") > F.col("b.node"))
-    return a.join(b, apart & close("a", "b", percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("centre")).distinct()
+    once = ~F.arrays_overlap("a.prior", "b.prior")
+    return a.join(b, apart & close("a", "b", percent) & once).select(F.col("a.node").alias("a"), F.col("b.node").alias("centre")).distinct()
 
 
 def components_query(docs: DataFrame) -> DataFrame:
