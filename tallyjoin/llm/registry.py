@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyjoin.llm.bpe import token_digest
 from tallyjoin.llm.common import table
@@ -12,6 +13,7 @@ from tallyjoin.llm.decontaminate import contamination_digest
 from tallyjoin.llm.hash_tree import Tree, shard_documents
 from tallyjoin.llm.language import language_query
 from tallyjoin.llm.licenses import license_digest
+from tallyjoin.llm.multi_index import nearest
 from tallyjoin.llm.parity_join import components_query
 from tallyjoin.llm.quality import quality_query
 from tallyjoin.llm.secrets import secret_digest
@@ -49,19 +51,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of equal weight: 4 regions of 2 racks of 5."""
-    from pyspark.sql import functions as F
-
     df = shard_documents(table(spark, sf_dir, "documents"), Tree.even(4, 2, 5))
     return df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op9_secret_scan, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op8_nearest_neighbours, op9_secret_scan, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
