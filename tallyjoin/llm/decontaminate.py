@@ -103,11 +103,11 @@ def proximity_matches(index: Index, slop: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_words, n_hit, items (sorted ids), by exact windows."""
+    """A row for each row of ``docs``: the row itself, doc_id, n_words, n_hit, items (sorted ids) and hits, by exact windows."""
     places = phrase_candidates(build_index(docs, bench, window))
     per_text = cut(places.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("id", "words", "windows")).alias("places")))
     per_text = per_text.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    rows = _rows(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words"))
     df = rows.join(bounded(per_text, CANDIDATE_ROWS), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash")), "left")
 
     def verified(place: Column) -> Column:
@@ -115,11 +115,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         return F.transform(F.filter(place["windows"], same), lambda w: F.struct(w["start"].alias("start"), (w["start"] + w["length"]).alias("end"), place["id"].alias("id")))
 
     hits = F.when(F.col("places").isNull(), F.array().cast("array<struct<start:int,end:int,id:string>>")).otherwise(F.array_sort(F.flatten(F.transform("places", verified))))
-    df = df.select("doc_id", F.size("words").cast("bigint").alias("n_words"), hits.alias("hits"))
+    df = df.select("row", "doc_id", F.size("words").cast("bigint").alias("n_words"), hits.alias("hits"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     add = lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(h["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], h["end"]).alias("end"))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["id"])))
-    return df.select("doc_id", "n_words", F.aggregate("hits", start, add, lambda acc: acc["n"]).cast("bigint").alias("n_hit"), ids.alias("items"), "hits")
+    return df.select("row", "doc_id", "n_words", F.aggregate("hits", start, add, lambda acc: acc["n"]).cast("bigint").alias("n_hit"), ids.alias("items"), "hits")
 
 
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -127,9 +127,14 @@ def is_contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with the same columns."""
+    return contamination(docs, bench).where(~is_contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")
+
+
 def contamination_digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The figures of the contract from contamination()."""
-    df = contamination(docs, bench)
+    df = contamination(docs.select("doc_id", "text"), bench)
     return df.select(
         "doc_id",
         "n_words",

@@ -147,7 +147,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node (null without a set), keys and cells of the sketch (null if the same task gave them for that node before)."""
+    """doc_id, hash of the text, n, node (null without a set), keys and cells of the sketch (null if the task gave that node's before)."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -166,11 +166,11 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 keys[k] = found.view(np.int64)
             cells = [dense_sketch(s) if x else None for s, x in zip(sets, lead)]
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "keys", "cells"],
+                [block.column(0), block.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))],
+                names=["doc_id", "hash", "n", "node", "keys", "cells"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, node bigint, keys array<bigint>, cells array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {id_type}, hash bigint, n bigint, node bigint, keys array<bigint>, cells array<bigint>")
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -239,7 +239,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node, component_id: the smallest doc_id reachable by links, for each row of ``docs``."""
+    """doc_id, hash of the text, n_shingles, node, component_id: the smallest doc_id reachable by links, for each row of ``docs``."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     rows = stored(sketch(docs, words, percent), folder, "sketches")
@@ -284,8 +284,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         least = least.join(group, "label").select("node", "component_id")
     else:
         least = least.withColumnRenamed("own", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(least, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "hash", F.col("n").alias("n_shingles"), "node").join(least, "node", "left")
+    return out.select("doc_id", "hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _by(key: str):
@@ -331,12 +331,12 @@ def components_query(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id. Texts without a set all stay."""
-    marked = link_components(docs.select("doc_id", "text"), words, percent)
-    kept = cut(marked.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_n")))
-    dropped = marked.where(F.col("node").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(bounded(dropped, ID_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    twice = cut(kept.groupBy("doc_id").agg(F.sum("_n").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")))
+    marked = cut(link_components(docs.select("doc_id", "text"), words, percent).where(F.col("node").isNotNull()))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    dropped = bounded(marked.where(~stays).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct(), ID_ROWS)
+    of = lambda other: docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_hash"])
+    out = docs.join(dropped, of(dropped), "left_anti")
+    twice = cut(marked.where(stays).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).count().where("count > 1"))
     if twice.isEmpty():
         return out
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return out.join(twice, of(twice), "left_anti").unionByName(out.join(twice, of(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

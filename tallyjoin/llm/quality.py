@@ -218,8 +218,8 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the same columns. A row is known by its id and text."""
     marked = docs.select("doc_id", "lang", F.xxhash64("text").alias("_hash"), "text")
     bad = judge(marked, labels).where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
-    return docs.join(bounded(cut(bad), LABEL_ROWS), same, "left_anti")
+    bad = bounded(cut(bad), LABEL_ROWS)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_text"]), "left_anti")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text masked; columns as before. Texts without spans stay as they are."""
-    found = find_secrets(docs)
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("row"), "text"))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -129,10 +129,17 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
     masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = found.withColumn("masked", F.when(F.size("spans") > 0, masked).otherwise(text))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("masked").alias(name)
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(F.size("spans") > 0, F.length("masked").cast(kind)).otherwise(F.col("row")[name]).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return found.select(*map(column, docs.columns))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
