@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallyjoin.llm.arrow import blocks
+from tallyjoin.llm.arrow import blocks, tidied
 from tallyjoin.llm.common import small_batches
 
 NONE = np.int64(1 << 40)
 #: Bytes of text whose pieces are merged together, and pieces that a task remembers before it forgets them all.
-REPLAY, REMEMBERED = 8 << 20, 400_000
+REPLAY, REMEMBERED = 4 << 20, 200_000
 
 
 class Vocabulary:
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 yield pa.RecordBatch.from_arrays([*block.columns[:-1], ids], names=[*keep, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids binary"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -248,7 +248,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, schema + ", decoded binary")
+    return encoded.mapInArrow(tidied(run), schema + ", decoded binary")
 
 
 def token_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

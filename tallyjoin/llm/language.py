@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.arrow import BLOCK, blocks, sums, texts
+from tallyjoin.llm.arrow import BLOCK, blocks, sums, texts, tidied
 from tallyjoin.llm.common import fold, small_batches
 
 #: Orders of n-grams, bits of a bucket's number for each, and the smoothing count.
@@ -82,7 +82,7 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], names=["language", "bucket", "n"])
 
     small_batches(docs.sparkSession)
-    counts = docs.select("text", "lang").mapInArrow(run, "language int, bucket int, n bigint")
+    counts = docs.select("text", "lang").mapInArrow(tidied(run), "language int, bucket int, n bigint")
     return counts.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
             names = np.array([*languages, "und"], object)[np.where(known, best, len(languages))]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {id_type}, lang_pred string, score double")
 
 
 def language_query(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:

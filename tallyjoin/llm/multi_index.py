@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyjoin.llm.arrow import tidied
 from tallyjoin.llm.common import cut, small_batches
 
 #: Vectors that fit the codebooks; bounds of K; rounds of k-means; queries of a cell in one task; queries a task holds results of.
@@ -102,7 +103,7 @@ def assign(entries: DataFrame, books: tuple[np.ndarray, np.ndarray]) -> DataFram
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*names, "cell"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
-    return entries.mapInArrow(run, schema + ", cell int")
+    return entries.mapInArrow(tidied(run), schema + ", cell int")
 
 
 def probes(queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, wanted: int) -> DataFrame:
@@ -121,7 +122,7 @@ def probes(queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.n
             flat = pa.array([c for found in cells for c in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), flat], names=["k1", "k2", "embedding", "cell"])
 
-    return queries.select("k1", "k2", "embedding").mapInArrow(run, "k1 bigint, k2 bigint, embedding array<float>, cell int")
+    return queries.select("k1", "k2", "embedding").mapInArrow(tidied(run), "k1 bigint, k2 bigint, embedding array<float>, cell int")
 
 
 def _best(found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +185,7 @@ def scan_cells(probes_: DataFrame, index: DataFrame, k: int) -> DataFrame:
                         best[key] = _best([*([best[key]] if key in best else []), (d, flat)], k + 1)
         yield from results()
 
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, vec_id bigint, score double")
+    return rows.mapInArrow(tidied(run), "k1 bigint, k2 bigint, vec_id bigint, score double")
 
 
 def calibrate(index: DataFrame, queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, k: int) -> int:
@@ -206,7 +207,7 @@ def calibrate(index: DataFrame, queries: DataFrame, books: tuple[np.ndarray, np.
         d, cell = (np.concatenate(x) for x in zip(*best))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(d), pa.array(cell)], names=["trial", "d", "cell"])
 
-    found = index.select("embedding", "cell").mapInArrow(run, "trial int, d double, cell bigint")
+    found = index.select("embedding", "cell").mapInArrow(tidied(run), "trial int, d double, cell bigint")
     order = Window.partitionBy("trial").orderBy("d", "cell")
     true = found.withColumn("_r", F.row_number().over(order)).where((F.col("_r") > 1) & (F.col("_r") <= k + 1)).select("trial", "cell").collect()
     one, two = books

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.arrow import blocks, texts
+from tallyjoin.llm.arrow import blocks, texts, tidied
 from tallyjoin.llm.common import bounded, cut, shared_folder, small_batches
 
 #: Words of a shingle and the similarity of a link, in hundredths.
@@ -170,7 +170,7 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 names=["doc_id", "hash", "n", "node", "keys", "cells"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {id_type}, hash bigint, n bigint, node bigint, keys array<bigint>, cells array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(tidied(run), f"doc_id {id_type}, hash bigint, n bigint, node bigint, keys array<bigint>, cells array<bigint>")
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percen
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "centre"])
 
-    return rows.mapInArrow(run, "a bigint, centre bigint")
+    return rows.mapInArrow(tidied(run), "a bigint, centre bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:

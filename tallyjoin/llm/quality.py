@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.arrow import blocks, sums, texts
+from tallyjoin.llm.arrow import blocks, sums, texts, tidied
 from tallyjoin.llm.common import bounded, cut, fold, small_batches
 
 #: Length of n-grams; symbols; n-grams whose probabilities may be broadcast (12 bytes each); labels that may be.
@@ -97,7 +97,7 @@ def count_codes(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for k in range(0, len(code), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 65536]), pa.array(n[k : k + 65536])], names=["code", "n"])
 
-    return docs.where(F.octet_length("text") > 0).select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.where(F.octet_length("text") > 0).select("text").mapInArrow(tidied(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -169,7 +169,7 @@ def perplexities(docs: DataFrame, table: DataFrame, most: int = TABLE_ROWS, orde
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(n), mean], names=[*keep, "n_bytes", "log_ppl"])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*fields, "n_bytes bigint", "log_ppl double"]))
+    return docs.select(*keep, "text").mapInArrow(tidied(run), ", ".join([*fields, "n_bytes bigint", "log_ppl double"]))
 
 
 def _by_join(docs: DataFrame, table: DataFrame, keep: list[str], fields: list[str], order: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _by_join(docs: DataFrame, table: DataFrame, keep: list[str], fields: list[st
     # The hash of a text stands for it: equal texts have equal perplexities.
     hashed = docs.withColumn("_row", F.sha1("text"))
     different = hashed.where(F.octet_length("text") > 0).select("_row", "text").dropDuplicates(["_row"])
-    grams = different.mapInArrow(run, "_row string, code bigint, times bigint")
+    grams = different.mapInArrow(tidied(run), "_row string, code bigint, times bigint")
     each = grams.join(table, "code").groupBy("_row").agg(F.sum(F.col("times") * F.col("cost").cast("double")).alias("_sum"), F.sum("times").alias("_n"))
     return hashed.join(each, "_row", "left").select(*keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), (F.col("_sum") / F.col("_n")).alias("log_ppl"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.arrow import blocks
+from tallyjoin.llm.arrow import blocks, tidied
 from tallyjoin.llm.common import LOWER, UPPER, bounded, fold, small_batches, words_of
 
 #: Weight of the prior in texts, the least odds and significance of a word that counts, cost of any other word.
@@ -130,7 +130,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
     schema += ["n_words bigint", "passages array<struct<start:int,end:int,score:double,expected:double>>", "evidence double"]
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(schema))
+    return docs.select(*keep, "text").mapInArrow(tidied(run), ", ".join(schema))
 
 
 def _extreme_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
