@@ -34,7 +34,7 @@ WORDS, PERCENT = 4, 85
 DENSE, SALT, ID_ROWS = 8, 2000, 2_000_000
 #: Rounds of tests against centres before all pairs still apart are tested: how many centres a node is held against in each,
 #: and how many of a node's buckets and of a bucket's centres are looked at for them.
-STARS, STAR_KEYS, STAR_CENTRES = (1, 3), 4, 4
+STARS, STAR_KEYS, STAR_CENTRES = (2,), 4, 4
 #: Earlier keys that a row carries in the last round.
 PRIOR_KEYS = 16
 
@@ -226,15 +226,13 @@ def connected(edges: DataFrame) -> DataFrame:
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        tree = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        large = both.withColumn("m", F.least(F.min("v").over(_by("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.where("u <> v").withColumn("m", F.min("v").over(_by("u")))
+        # Each node hangs from its least neighbour, and so do the others.
+        tree = cut(low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         # Done when every node hangs from one root and no root hangs from another.
-        roots = tree.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
-        n = tree.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(roots, "u", "left").where("n > 1 OR root = 1")
-        if n.isEmpty():
+        ends = tree.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(tree.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("root")))
+        if ends.groupBy("u").agg(F.sum("hangs").alias("h"), F.max("root").alias("r")).where("h > 1 OR h = 1 AND r = 1").isEmpty():
             return tree.withColumnsRenamed({"u": "node", "v": "label"})
 
 
@@ -303,7 +301,7 @@ def _against_centres(parts: DataFrame, turn: int) -> DataFrame:
     some = _by("node").orderBy(F.xxhash64("key", F.lit(turn)), "key")
     probes = parts.withColumn("k", F.row_number().over(some)).where(F.col("k") <= STAR_KEYS).drop("k")
     order = _by("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    centres = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= (1 if STARS[turn] == 1 else STAR_CENTRES))
+    centres = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= STAR_CENTRES)
     centres = centres.select("key", F.col("node").alias("centre"), F.col("label").alias("other"))
     met = probes.join(centres, "key").where("label <> other").select(F.col("node").alias("a"), "centre")
     best = _by("a").orderBy(F.desc("n"), "centre")
