@@ -38,7 +38,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), their number, and the text decoded from them."""
     path = public_tokenizers.path(RANKS)
     keep = tuple(c for c in docs.columns if c not in ("text", "ids", "decoded"))
-    df = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, keep), path)
+    df = bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep)
     return df.select(*keep, F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 

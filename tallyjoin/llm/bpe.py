@@ -216,24 +216,37 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``ids``: each text's token ids as little-endian unsigned 32-bit integers."""
+def _coded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], back: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
+    names = [*keep, "ids", *["decoded"] * back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path), pattern)
+        vocabulary = load(path)
+        encoder = Encoder(vocabulary, pattern)
         for group in _gathered(batches):
             rows = [t or "" for block in group for t in block.column(len(keep)).to_pylist()]
             found, begin = encoder.encode(rows), 0
             for block in group:
                 part = found[begin : begin + block.num_rows]
                 begin += block.num_rows
-                ids = pa.array([x.astype("<u4").tobytes() for x in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([*block.columns[:-1], ids], names=[*keep, "ids"])
+                new = [pa.array([x.astype("<u4").tobytes() for x in part], pa.binary())]
+                if back:
+                    new.append(pa.array([vocabulary.decode(x) for x in part], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*block.columns[:-1], *new], names=names)
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{c} binary" for c in names[len(keep) :]]
+    return docs.select(*keep, "text").mapInArrow(tidied(run), ", ".join(schema))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and ``ids``: each text's token ids as little-endian unsigned 32-bit integers."""
+    return _coded(docs, path, pattern, keep, False)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids binary"
-    return docs.select(*keep, "text").mapInArrow(tidied(run), schema)
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The same and ``decoded``: the bytes that the ids stand for, decoded in the same worker."""
+    return _coded(docs, path, pattern, keep, True)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -252,9 +265,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The figures of the contract from encode() and decode()."""
+    """The figures of the contract from round_trip()."""
     from pyspark.sql import functions as F
 
-    df = decode(encode(docs, path, pattern), path)
+    df = round_trip(docs, path, pattern)
     n = F.expr("octet_length(ids) div 4").cast("bigint")
     return df.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
