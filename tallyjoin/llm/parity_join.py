@@ -34,7 +34,7 @@ WORDS, PERCENT = 4, 85
 DENSE, SALT, ID_ROWS = 8, 2000, 2_000_000
 #: Rounds of tests against centres before all pairs still apart are tested: how many centres a node is held against in each,
 #: and how many of a node's buckets and of a bucket's centres are looked at for them.
-STARS, STAR_KEYS, STAR_CENTRES = (2,), 4, 4
+STARS, STAR_KEYS, STAR_CENTRES = (2, 2), 6, 4
 #: Earlier keys that a row carries in the last round.
 PRIOR_KEYS = 16
 
@@ -179,19 +179,23 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
+def distance(a: str, b: str) -> Column:
+    """Hamming distance of the dense sketches."""
+    cells = [F.bit_count(F.get(f"{a}.cells", F.lit(k)).bitwiseXOR(F.get(f"{b}.cells", F.lit(k)))) for k in range(DENSE)]
+    return reduce(lambda x, y: x + y, cells)
+
+
 def close(a: str, b: str, percent: int = PERCENT) -> Column:
     """Whether sizes and Hamming distance allow a link of the sketches a and b (n and cells)."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    size = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-    cells = [F.bit_count(F.get(f"{a}.cells", F.lit(k)).bitwiseXOR(F.get(f"{b}.cells", F.lit(k)))) for k in range(DENSE)]
-    return size & (reduce(lambda x, y: x + y, cells) * (100 + percent) <= (na + nb) * (100 - percent))
+    size = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return size & (distance(a, b) * (100 + percent) <= (na + nb) * (100 - percent))
 
 
 def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, centre) whose texts link. Members stream past their centre's text; a large star has several copies of it."""
     small_batches(pairs.sparkSession)
-    counts = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
-    dealt = pairs.join(counts, "centre").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SALT)).cast("int"))
+    dealt = pairs.withColumn("members", F.count(F.lit(1)).over(_by("centre"))).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SALT)).cast("int"))
     members = dealt.select("centre", "salt", F.lit(1).alias("role"), F.col("a").alias("node"))
     centres = dealt.select("centre", "salt").distinct().select("centre", "salt", F.lit(0).alias("role"), F.col("centre").alias("node"))
     rows = centres.unionByName(members).join(node_texts, "node").select("centre", "salt", "role", "node", "text")
@@ -265,7 +269,11 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             pairs = pairs.join(tested, ["a", "centre"], "left_anti")
         a, b = sketches.alias("a"), sketches.alias("b")
         near = pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.centre") == F.col("b.node")).where(close("a", "b", percent))
-        pairs = cut(near.select("p.a", "p.centre"))
+        near = near.select("p.a", "p.centre", distance("a", "b").alias("d"))
+        if turn < len(STARS):
+            nearest = _by("a").orderBy("d", "centre")
+            near = near.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= STARS[turn])
+        pairs = cut(near.select("a", "centre"))
         if pairs.isEmpty():
             continue
         needed = pairs.select("a").union(pairs.select("centre")).distinct().withColumnRenamed("a", "node")
@@ -293,7 +301,7 @@ def _by(key: str):
 
 
 def _against_centres(parts: DataFrame, turn: int) -> DataFrame:
-    """(a, centre): nodes with those of their buckets' centres that they share most buckets with and are apart from.
+    """(a, centre): nodes with the centres of some of their buckets that they are apart from.
 
     Centres of a bucket are its least nodes in an order that changes with the turn. Which buckets are looked at is no matter
     of correctness, as all pairs still apart are tested at last.
@@ -303,10 +311,7 @@ def _against_centres(parts: DataFrame, turn: int) -> DataFrame:
     order = _by("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
     centres = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= STAR_CENTRES)
     centres = centres.select("key", F.col("node").alias("centre"), F.col("label").alias("other"))
-    met = probes.join(centres, "key").where("label <> other").select(F.col("node").alias("a"), "centre")
-    best = _by("a").orderBy(F.desc("n"), "centre")
-    shared = met.groupBy("a", "centre").agg(F.count(F.lit(1)).alias("n"))
-    return shared.withColumn("k", F.row_number().over(best)).where(F.col("k") <= STARS[turn]).select("a", "centre")
+    return probes.join(centres, "key").where("label <> other").select(F.col("node").alias("a"), "centre").distinct()
 
 
 def _apart(parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
