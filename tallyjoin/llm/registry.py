@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyjoin.llm import oracles
 from tallyjoin.llm.bpe import token_digest
 from tallyjoin.llm.common import table
 from tallyjoin.llm.decontaminate import contamination_digest
@@ -68,4 +69,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op8_nearest_neighbours, op9_secret_scan, op10_sharding)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,15 @@ def test_tree_moves_only_into_what_grew(spark):
 
 def test_registered(spark):
     assert {n.split("_")[0] for n in registry.QUERIES} >= {"op2", "op6", "op9", "op10"}
+
+
+@pytest.mark.parametrize("name", list(registry.ORACLES))
+def test_against_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    con.execute(registry.ORACLES[name])
+    names, rows = [c[0] for c in con.description], con.fetchall()
+    df = registry.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(rows)
