@@ -23,7 +23,7 @@ from tallyjoin.llm.common import small_batches
 
 NONE = np.int64(1 << 40)
 #: Bytes of text whose pieces are merged together, and pieces that a task remembers before it forgets them all.
-REPLAY, REMEMBERED = 4 << 20, 200_000
+REPLAY, REMEMBERED = 3 << 19, 200_000
 
 
 class Vocabulary:
