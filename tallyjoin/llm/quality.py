@@ -6,8 +6,9 @@ corpus holds is then joined with the sharded counts and gets its probability. Th
 broadcast while they are few, and by a join on (text, n-gram) beyond that bound; both give the same perplexities.
 
 A text is rejected when its log-perplexity is above a fence of its language, taken from quantiles of trusted texts of that
-language which the model was not trained on (of all languages' where these are few), plus what chance allows so short a
-text. Null and empty texts have no perplexity and are kept; without trusted texts
+language which the model was not trained on, plus what chance allows so short a text. A language with few of these has its
+fence from the lower half of all its own different texts, never below that of all languages; one with few texts is kept
+whole. Null and empty texts have no perplexity and are kept; without trusted texts
 everything is kept. Repeated rows are scored each. A null language is a language of its own.
 """
 
@@ -27,8 +28,10 @@ from tallyjoin.llm.common import bounded, cut, fold, small_batches
 ORDER, SYMBOLS, TABLE_ROWS, LABEL_ROWS = 5, 256, 4_000_000, 2_000_000
 #: The fence is HIGH + REACH * (HIGH - MIDDLE), of quantiles of trusted log-perplexities.
 MIDDLE, HIGH, REACH = 0.5, 0.99, 1.0
-#: One trusted text of so many, by crc32 of the id, is for the fences; fewer than FEW in a language don't make one of its own;
-#: a text of n bytes may be higher by CHANCE / sqrt(n).
+#: From all texts of a language, trusted or not, it is MIDDLE + LOW_REACH * (MIDDLE - LOW): junk is in the upper half.
+LOW, LOW_REACH = 0.05, 2.0
+#: One trusted text of so many, by crc32 of the id, is for the fences; fewer than FEW of a language (trusted, or else all) make
+#: none; a text of n bytes may be higher by CHANCE / sqrt(n).
 FOLDS, FEW, CHANCE = 5, 50, 3.0
 
 _SAME = np.arange(256, dtype=np.uint8)
@@ -205,12 +208,18 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = TABLE_ROWS) -> DataFra
     scored = cut(perplexities(docs.select(*extra, "text"), table, most))
     known = scored.where(held).join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").where("log_ppl IS NOT NULL")
     chance = CHANCE / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    at = F.percentile_approx(F.col("log_ppl") - chance, [MIDDLE, HIGH], F.lit(10_000)).alias("q")
-    fence = F.col("q")[1] + REACH * (F.col("q")[1] - F.col("q")[0])
-    by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(at, F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEW).select("_lang", fence.alias("_own"))
-    overall = known.agg(at).select(fence.alias("_all")).collect()[0]["_all"]
+    at = lambda *q: F.percentile_approx(F.col("log_ppl") - chance, [*q], F.lit(10_000)).alias("q")
+    n, fence = F.count(F.lit(1)).alias("_n"), F.col("q")[1] + REACH * (F.col("q")[1] - F.col("q")[0])
+    by_lang = cut(known.groupBy(F.col("lang").alias("_lang")).agg(at(MIDDLE, HIGH), n).where(F.col("_n") >= FEW).select("_lang", fence.alias("_own")))
+    if overall := known.agg(at(MIDDLE, HIGH)).collect()[0]["q"]:
+        middle, high = overall
+        others = scored.where("log_ppl IS NOT NULL").join(bounded(by_lang, 100_000), F.col("lang").eqNullSafe(F.col("_lang")), "left_anti")
+        # Copies count once, else a text that is most of a language would leave no width.
+        others = others.select(F.col("lang").alias("_lang"), "n_bytes", "log_ppl").distinct().groupBy("_lang").agg(at(LOW, MIDDLE), n).where(F.col("_n") >= FEW)
+        width = F.greatest(LOW_REACH * (F.col("q")[1] - F.col("q")[0]), F.lit((1 + REACH) * (high - middle)))
+        by_lang = cut(by_lang.unionByName(others.select("_lang", F.greatest(F.col("q")[1] + width, F.lit(high + REACH * (high - middle))).alias("_own"))))
     df = scored.join(bounded(by_lang, 100_000), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    df = df.withColumn("fence", F.coalesce("_own", F.lit(overall).cast("double")) + chance)
+    df = df.withColumn("fence", F.col("_own") + chance)
     return df.select(*extra, "n_bytes", "log_ppl", "fence", F.coalesce(F.col("log_ppl") <= F.col("fence"), F.lit(True)).alias("keep"))
 
 

@@ -180,6 +180,15 @@ def test_quality(spark):
     assert quality.quality_query(docs, labels.where("false")).where("NOT keep").count() == 0
 
 
+def test_quality_of_a_rare_language(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.where("lang = 'es'").limit(20).withColumns({"doc_id": F.col("doc_id") + 90_000, "lang": F.lit("xx")}))
+    out = quality.quality_query(docs, labels.join(docs.where("lang = 'es'"), "doc_id", "left_anti")).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id", "left").cache()
+    clean, junk = (out.where(f"lang = 'es' AND quality = {q}") for q in (1, 0))
+    assert clean.count() > 20 and clean.where("NOT keep").count() == 0 and junk.where("NOT keep").count() > 0
+    assert out.where("lang = 'xx'").count() == 20 and out.where("lang = 'xx' AND NOT keep").count() == 0
+
+
 def test_quality_by_broadcast_and_by_join(spark):
     docs = common.table(spark, SF, "documents").select("doc_id", "lang", "text").limit(40).unionByName(frame(spark, [(1, None), (2, "")]).select("doc_id", "lang", "text"))
     table = quality.count_codes(docs).select("code", (F.col("n") / 7).cast("float").alias("cost"))
