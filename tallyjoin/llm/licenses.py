@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index.
 
-Templates are indexed by word and position. A text's licence words are ranked by IDF over the whole corpus; the postings of
-the rarest are looked up, and a template is a candidate where enough of them agree on one relative position. A candidate
-becomes a label when all its mandatory phrases stand in the text, word for word. JVM expressions only; after the document
+Templates are indexed by word and position. In a text that holds all mandatory phrases of a template, word for word, the
+postings of all its rare licence words are looked up, and the template is a label where enough of them agree on one relative
+position; words weigh by their IDF over the whole corpus. JVM expressions only; after the document
 frequencies (at most one row for each licence word) everything is local to a row.
 
 Null and empty texts have no words and no label. Repeated rows get the same result each.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc0", "licensed under cc0 1 0 universal", ("cc0 1 0",)),
 )
-#: Rarest licence words of a text that are looked up; agreeing ones that make a candidate; words a short edit may shift.
-LOOKED_UP, AGREEING, SLACK = 8, 2, 1
+#: Agreeing words that make a candidate; words a short edit may shift.
+AGREEING, SLACK = 2, 1
 
 
 def _strings(values) -> Column:
@@ -98,15 +99,15 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     df = df.withColumn("places", F.when(F.array_contains("words", "license"), _places(F.col("words"))).otherwise(none))
     labels = F.array().cast("array<struct<label:string,share:double>>")
     if rare:
-        # array_intersect keeps the order of its first argument: rarest first.
-        df = df.withColumn("_top", F.slice(F.array_intersect(_strings(rare), F.col("words")), 1, LOOKED_UP))
+        padded = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+        whole = lambda t: reduce(lambda a, b: a & b, (F.contains(padded, F.lit(f" {x} ")) for x in t.mandatory))
+        df = df.withColumn("_held", F.array(*map(whole, templates)))
         post = lambda w: F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in postings[w]])
         index = F.create_map(*[x for w in rare for x in (F.lit(w), F.struct(F.lit(float(idf[w])).alias("idf"), post(w).alias("at")))])
-        hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("_top", h["w"]))
+        hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(_strings(rare), h["w"]))
         votes = F.flatten(F.transform(hits, lambda h: F.transform(index[h["w"]]["at"], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("at"), h["w"].alias("w"), index[h["w"]]["idf"].alias("idf")))))
         empty = F.array().cast("array<struct<t:int,at:int,w:string,idf:double>>")
-        df = df.withColumn("_votes", F.when(F.size("_top") >= AGREEING, votes).otherwise(empty))
-        padded = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+        df = df.withColumn("_votes", F.when(F.array_contains("_held", True), votes).otherwise(empty))
 
         def share(t: int) -> Column:
             """The largest share of a template's IDF that agrees on one place, 0 where too few words do."""
@@ -119,10 +120,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
             return F.coalesce(F.array_max(F.transform(F.array_distinct(F.transform(mine, lambda v: v["at"])), at)), F.lit(0.0)) / mass[t]
 
         def one(t: int) -> Column:
-            held = F.lit(True)
-            for phrase in templates[t].mandatory:
-                held = held & F.contains(padded, F.lit(f" {phrase} "))
-            return F.struct(F.lit(templates[t].label).alias("label"), F.when(held, F.least(share(t), F.lit(1.0))).otherwise(F.lit(0.0)).alias("share"))
+            return F.struct(F.lit(templates[t].label).alias("label"), F.when(F.get("_held", F.lit(t)), F.least(share(t), F.lit(1.0))).otherwise(F.lit(0.0)).alias("share"))
 
         found = F.filter(F.array(*[one(t) for t in range(len(templates))]), lambda x: x["share"] > 0)
         labels = F.when(F.size("_votes") > 0, found).otherwise(labels)

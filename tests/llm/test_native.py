@@ -92,6 +92,14 @@ def test_licenses_brute_force(spark):
     assert L.license_digest(frame(spark, [])).collect() == []
 
 
+def test_licenses_many_notices(spark):
+    notices = " . ".join(t.text for t in L.TEMPLATES)
+    plain = [(k, f"plain words number {k}") for k in range(60)]
+    rows = {r["doc_id"]: r for r in L.license_digest(frame(spark, plain + [(100, notices), (101, L.TEMPLATES[1].text + " " + L.TEMPLATES[4].text)])).collect()}
+    assert {t.label for t in L.TEMPLATES} <= set(rows[100]["labels"].split(","))
+    assert rows[101]["labels"] == "gpl,gpl-3.0,mit-text" and rows[1]["labels"] == ""
+
+
 def contamination_brute(t, items, n=13):
     words, hit, found = WORD.findall(lower(t)), set(), set()
     for key, text in items:
