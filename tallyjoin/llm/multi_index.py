@@ -3,7 +3,8 @@
 Each half of a vector is quantised by a codebook of its own, so K + K centroids make K * K cells. A query walks the pairs of
 centroids in order of summed distance with a heap until its cells hold enough entries; these are ranked by the exact distance
 in double precision. How many are enough is measured: a bounded number of queries is answered exactly by one scan, and the
-number is the quantile, over their true neighbours, of the entries that the walk meets up to the neighbour's cell. Equal vectors are one entry with their smallest ids (k + 1 of them: no query can need more). Codebooks
+number is the quantile, over their true neighbours, of the entries that the walk meets up to the neighbour's cell, and k + 1
+at least, so that each query gets k rows where there are as many. Equal vectors are one entry with their smallest ids (k + 1 of them: no query can need more). Codebooks
 are fitted on a bounded sample; every row is indexed.
 
 Vectors take no part that are null, zero, of another length than most, or hold a null or a value that is not finite; nor do rows
@@ -243,7 +244,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, wanted: int | Non
         sizes[r["cell"]] = r["n"]
     asking = cut(rows.where(is_query).select("vec_id", *KEY).distinct().withColumnRenamed("vec_id", "query_id"))
     queries = index.join(asking.select(*KEY).distinct(), list(KEY), "left_semi")
-    wanted = wanted or calibrate(index, queries, books, sizes, k)
+    wanted = max(wanted or calibrate(index, queries, books, sizes, k), k + 1)
     found = scan_cells(probes(queries, books, sizes, wanted), index, k)
     order = Window.partitionBy(*KEY).orderBy("score", "vec_id")
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)

@@ -222,6 +222,13 @@ def test_nearest_recall(spark):
     assert multi_index.nearest(df.where("false"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_nearest_where_one_entry_seems_enough(spark):
+    x = np.random.default_rng(6).normal(size=(40, 8)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = multi_index.nearest(df, F.col("vec_id") % 10 == 0, wanted=1).groupBy("query_id").count().collect()
+    assert len(got) == 4 and {r["count"] for r in got} == {10}
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(1)
     a, b, sizes = rng.random(6), rng.random(5), rng.integers(0, 3, 30)
