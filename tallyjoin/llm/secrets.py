@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Strings that the entropy scan looks at, the window, and bits per character from which a class is suspicious.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Parts of a candidate that are looked at by themselves: what '=' sets apart, with its padding, and runs of hex digits.
+PARTS = (r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?", r"[0-9A-F]{20,}", r"[0-9a-f]{20,}")
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "base64": 3.7}
 #: Strings that look random but are no secrets.
@@ -87,10 +89,24 @@ def _suspicious(span: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(s) >= bits)
 
 
+def _uncovered(e: Column) -> Column:
+    """What is left of a span outside ``base_spans``: pieces of a window's length at least."""
+    over = F.filter("base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    start = F.struct(e["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def with_piece(acc: Column, end: Column) -> Column:
+        text = F.substr(e["text"], acc["at"] - e["start"] + 1, end - acc["at"])
+        piece = F.struct(acc["at"].alias("start"), e["kind"].alias("kind"), end.alias("end"), text.alias("text"))
+        return F.when(end - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(piece)).cast(SPAN)).otherwise(acc["out"])
+
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), with_piece(acc, b["start"]).alias("out"))
+    return F.aggregate(over, start, step, lambda acc: with_piece(acc, e["end"]))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans`` (those and the entropy scan's), each sorted by start, then kind.
 
-    An entropy span that overlaps a fixed pattern's is left out: that place is reported already.
+    What a fixed pattern's span covers is cut out of a candidate, as that place is reported already; the rest is looked at.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2))
@@ -106,9 +122,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    free = lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
-    found = F.filter(F.filter("_candidates", free), _suspicious)
-    return df.withColumn("spans", F.array_sort(F.concat("base_spans", found))).drop("_assign", "_access", "_hex", "_candidates")
+    df = df.withColumn("_found", F.filter(F.flatten(F.transform("_candidates", _uncovered)), _suspicious))
+    for part in PARTS:
+        new = F.filter(F.flatten(F.transform(_spans(text, part, 3, some), _uncovered)), _suspicious)
+        df = df.withColumn("_new", new)
+        inside = lambda e: F.exists("_found", lambda f: (f["start"] < e["end"]) & (e["start"] < f["end"]))
+        df = df.withColumn("_found", F.concat("_found", F.filter("_new", lambda e: ~inside(e)))).drop("_new")
+    return df.withColumn("spans", F.array_sort(F.concat("base_spans", "_found"))).drop("_assign", "_access", "_hex", "_candidates", "_found")
 
 
 def written(spans: str) -> Column:

@@ -67,6 +67,14 @@ def test_entropy(spark):
     assert spans == {1: "entropy:4:28", 2: "", 3: "", 4: ""}
 
 
+def test_entropy_of_parts(spark):
+    upper, lower_, mixed = "8F3A8F3E198482678E888F3A8F3E1984", "8f3a8f3e198482678e88", "Zx9Qw7Lk3Vb6Nm1Pp0Rt5yU8"
+    texts = [(1, f"KEY={upper} z"), (2, f"id={lower_} z"), (3, f"sample_key={mixed} z"), (4, f"{lower_}abcd0123{mixed} z")]
+    spans = {r["doc_id"]: r["spans"] for r in S.secret_digest(frame(spark, texts)).collect()}
+    assert [spans[k] for k in (1, 2, 3)] == ["entropy:4:36", "entropy:3:23", "entropy:11:35"]
+    assert spans[4] == "hex:0:28,entropy:28:52"
+
+
 def test_redact(spark):
     df = frame(spark, [(1, "a token=abcdefgh b"), (2, None), (3, "clean é"), (4, "token=0123456789abcdef01234567 z")]).withColumn("spans", F.lit(1))
     out = S.redact(df.drop("spans"))
