@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -51,6 +52,7 @@ def test_secrets_brute_force(spark):
         b = secrets_brute(text)
         want.append((doc, *(sum(k == x[1] for x in b) for k in range(3)), sha(",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in b))))
     assert sorted((r[:5] for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r[0], r[5]) for r in got), key=str) == sorted(((d, spans_brute(t)) for d, t in texts), key=str)
 
 
 def test_entropy(spark):
@@ -60,7 +62,7 @@ def test_entropy(spark):
 
     strings = ["Zx9Qw7Lk3Vb6Nm1Pp0Rt5yU8", "a" * 25, "aaaaaaaaaaaaaaaaaaaabcdefghijklm", "abcdefghij0123456789"]
     df = spark.createDataFrame([(s,) for s in strings], "s string")
-    for s, h in df.select("s", S.window_entropy(F.col("s"))).collect():
+    for s, h in df.select("s", F.expr(S.window_entropy("s"))).collect():
         assert h == pytest.approx(brute(s))
     texts = [(1, "key Zx9Qw7Lk3Vb6Nm1Pp0Rt5yU8 end"), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "src/module_one/file_two/part_three1"), (4, "1234567890123456789012")]
     spans = {r["doc_id"]: r["spans"] for r in S.secret_digest(frame(spark, texts)).collect()}
@@ -75,6 +77,57 @@ def test_entropy_of_parts(spark):
     assert spans[4] == "hex:0:28,entropy:28:52"
 
 
+def spans_brute(t):
+    """All spans, the entropy scan's with plain loops over windows."""
+    t, base = t or "", secrets_brute(t)
+    rest = list(t)
+    for begin, _, end in base:
+        rest[begin:end] = " " * (end - begin)
+    rest, found = "".join(rest), []
+
+    def suspicious(x):
+        parts = re.split("[-_/=]+", x)
+        if any(re.search(p, x) for p in S.ALLOWED) or len(parts) > 1 and re.search(S.FIRST_PART, parts[0]) and all(re.search(S.PART, p) for p in parts[1:]):
+            return False
+        h = lambda y: math.log2(20) - sum(y.count(c) * math.log2(y.count(c)) for c in set(y)) / 20
+        bits = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x) else 3.7
+        return any(h(x[i : i + 20]) >= bits for i in range(len(x) - 19))
+
+    for pattern in (S.CANDIDATE, *S.PARTS):
+        for m in re.finditer(pattern, rest):
+            if suspicious(m[0]) and not any(b <= m.start() and m.end() <= e for b, _, e in found):
+                found.append((m.start(), 3, m.end()))
+    return ",".join(f"{S.KINDS[k]}:{b}:{e}" for b, k, e in sorted(base + found))
+
+
+def test_long_texts(spark):
+    """Long tokens, one long candidate over several strips, and many matches in one text."""
+    rng = random.Random(3)
+    code = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(rng.choice(chars) for _ in range(n))
+    calm = "ab" * 4090
+    texts = [
+        (1, "ab_12_" * 20_000),
+        (2, "é " + code(9_000) + "== z"),
+        (3, calm + code(24) + calm),
+        (4, " ".join(code(32, "0123456789abcdef") for _ in range(3_000))),
+        (5, " ".join(code(24) for _ in range(1_000))),
+        (6, "".join(f"é token=abc{k}def, " for k in range(3_000)) + code(30)),
+        (7, code(40, "0123456789ABCDEF") + "=" + code(30) + "-" * 30),
+        (8, "x" * 100_000 + " " + "-_" * 30_000),
+    ]
+    rows = {r["doc_id"]: r for r in S.secret_digest(frame(spark, texts)).collect()}
+    for k, t in texts:
+        assert rows[k]["spans"] == spans_brute(t), k
+    masked = {r["doc_id"]: r["text"] for r in S.redact(frame(spark, texts)).collect()}
+    for k, t in texts:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in spans_brute(t).split(",") if x]
+        want, at = "", 0
+        for b, e in spans:
+            want, at = (want + t[at:b] + "[secret]", e) if b >= at else (want, max(at, e))
+        assert masked[k] == want + t[at:], k
+    assert S.secret_digest(frame(spark, [])).collect() == [] == S.redact(frame(spark, [])).collect()
+
+
 def test_redact(spark):
     df = frame(spark, [(1, "a token=abcdefgh b"), (2, None), (3, "clean é"), (4, "token=0123456789abcdef01234567 z")]).withColumn("spans", F.lit(1))
     out = S.redact(df.drop("spans"))
