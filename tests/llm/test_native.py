@@ -161,6 +161,24 @@ def test_licenses_many_notices(spark):
     assert rows[101]["labels"] == "gpl,gpl-3.0,mit-text" and rows[1]["labels"] == ""
 
 
+def labels_brute(t):
+    """Labels of all templates whose mandatory phrases stand in the text, and of the base phrases."""
+    padded = f" {' '.join(WORD.findall(lower(t)))} "
+    held = {x.label for x in L.TEMPLATES if all(f" {p} " in padded for p in x.mandatory)}
+    return ",".join(sorted(held | set(filter(None, licenses_brute(t)[4].split(",")))))
+
+
+def test_licenses_however_common(spark):
+    """Labels hang on a text alone, not on how many others hold the same notice; many repeats and ties are fine."""
+    mit, short = L.TEMPLATES[16].text, L.TEMPLATES[1].text
+    texts = [(k, mit) for k in range(30)] + [(50, "plain"), (51, short), (52, " . ".join([mit] * 300)), (53, "mit license " * 4000), (54, "GNU " * 2000), (55, None), (56, " ".join(t.text for t in L.TEMPLATES) * 3)]
+    for part in (texts, texts[:1]):
+        rows = L.license_digest(frame(spark, part)).collect()
+        assert sorted((r["doc_id"], r["labels"]) for r in rows) == sorted((k, labels_brute(t)) for k, t in part)
+        assert sorted(((r[0], *r[1:6]) for r in rows), key=str) == sorted(((d, *licenses_brute(t)) for d, t in part), key=str)
+        assert {r["score"] for r in rows if r["doc_id"] < 30} == {1.0}
+
+
 def contamination_brute(t, items, n=13):
     words, hit, found = WORD.findall(lower(t)), set(), set()
     for key, text in items:
