@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that end a word in the strict word rule (all of ASCII but digits and lower-case letters).
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters that end a word in the strict word rule: all of ASCII but digits and lower-case letters. Named one by one they are
+#: looked up in a table by the engine of regular expressions; ranges are compared one after the other.
+SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isdigit() and not chr(c).islower()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

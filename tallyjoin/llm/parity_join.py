@@ -35,8 +35,8 @@ DENSE, SALT, ID_ROWS = 8, 2000, 2_000_000
 #: Rounds of tests against centres before all pairs still apart are tested: how many centres a node is held against in each,
 #: and how many of a node's buckets and of a bucket's centres are looked at for them.
 STARS, STAR_KEYS, STAR_CENTRES = (2, 2), 6, 4
-#: Earlier keys that a row carries in the last round.
-PRIOR_KEYS = 16
+#: Earlier keys that a row carries in the last round; rows of a bucket that one task is given at most.
+PRIOR_KEYS, HOT = 16, 20_000
 
 U = np.uint64
 _K = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -195,7 +195,8 @@ def close(a: str, b: str, percent: int = PERCENT) -> Column:
 def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, centre) whose texts link. Members stream past their centre's text; a large star has several copies of it."""
     small_batches(pairs.sparkSession)
-    dealt = pairs.withColumn("members", F.count(F.lit(1)).over(_by("centre"))).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SALT)).cast("int"))
+    members = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
+    dealt = pairs.join(members, "centre").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SALT)).cast("int"))
     members = dealt.select("centre", "salt", F.lit(1).alias("role"), F.col("a").alias("node"))
     centres = dealt.select("centre", "salt").distinct().select("centre", "salt", F.lit(0).alias("role"), F.col("centre").alias("node"))
     rows = centres.unionByName(members).join(node_texts, "node").select("centre", "salt", "role", "node", "text")
@@ -225,13 +226,15 @@ def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percen
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b) that is not the smallest of its component: label is the smallest.
 
-    Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size.
+    Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size. Least
+    neighbours are aggregated and joined back, as such a join is split where one node has very many rows.
     """
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(_by("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.where("u <> v").withColumn("m", F.min("v").over(_by("u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         # Each node hangs from its least neighbour, and so do the others.
         tree = cut(low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         # Done when every node hangs from one root and no root hangs from another.
@@ -241,19 +244,24 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, hash of the text, n_shingles, node, component_id: the smallest doc_id reachable by links, for each row of ``docs``."""
+    """doc_id, hash of the text, n_shingles, node, component_id and group for each row of ``docs``.
+
+    component_id: the smallest doc_id reachable by links; group: a node, the same for all rows that links connect.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     rows = stored(sketch(docs, words, percent), folder, "sketches")
     leads = rows.where(F.col("keys").isNotNull())
-    offered = leads.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node").repartition("key")
-    of_key = lambda f: f("node").over(_by("key"))
-    buckets = offered.select("key", "node", of_key(F.min).alias("low"), of_key(F.max).alias("high")).where("low < high")
-    buckets = stored(buckets.select("key", "node").distinct(), folder, "buckets")
+    offered = leads.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node")
+    sizes = offered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    shared = stored(sizes.where("low < high").select("key", "size"), folder, "shared")
+    buckets = stored(offered.join(bounded(shared.select("key"), ID_ROWS), "key", "left_semi").distinct(), folder, "buckets")
+    hot = shared.where(F.col("size") > HOT).select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts"))
+    hot = bounded(hot, ID_ROWS)
     involved = buckets.select("node").distinct()
     sketches = cut(leads.join(involved, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
-    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"))
-    chosen = cut(least.join(involved, "node", "left_semi").withColumnRenamed("own", "_id"))
+    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"), F.min(_first_row()).alias("row"))
+    chosen = cut(least.join(involved, "node", "left_semi").select("node", F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash")))
 
     edges, tested, labels = None, None, None
     for turn in range(len(STARS) + 1):
@@ -264,7 +272,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             parts = cut(parts.join(span, "key", "left_semi"))
         else:
             parts = parts.withColumn("label", F.col("node"))
-        pairs = _against_centres(parts, turn) if turn < len(STARS) else _apart(parts, sketches, percent)
+        pairs = _against_centres(parts, hot, turn) if turn < len(STARS) else _apart(parts, sketches, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "centre"], "left_anti")
         a, b = sketches.alias("a"), sketches.alias("b")
@@ -278,20 +286,28 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             continue
         needed = pairs.select("a").union(pairs.select("centre")).distinct().withColumnRenamed("a", "node")
         ids = bounded(chosen.join(needed, "node", "left_semi"), ID_ROWS)
-        node_texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-        found = cut(verified(pairs, node_texts, words, percent))
+        texts_ = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+        texts_ = texts_.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+        found = cut(verified(pairs, texts_.select("node", "text").dropDuplicates(["node"]), words, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected(edges.select("a", F.col("centre").alias("b")))
 
+    least = least.select("node", "own")
     if labels is not None:
-        least = least.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "own")
-        group = least.groupBy("label").agg(F.min("own").alias("component_id"))
-        least = least.join(group, "label").select("node", "component_id")
+        linked = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        group = linked.join(least, "node").groupBy("label").agg(F.min("own").alias("component_id"))
+        linked = linked.join(group, "label")
+        least = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("label", "node").alias("group"))
     else:
-        least = least.withColumnRenamed("own", "component_id")
+        least = least.select("node", F.col("own").alias("component_id"), F.col("node").alias("group"))
     out = rows.select("doc_id", "hash", F.col("n").alias("n_shingles"), "node").join(least, "node", "left")
-    return out.select("doc_id", "hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def _first_row() -> Column:
+    """A row as what its order hangs on: least id first, no id last, then the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))
 
 
 def _by(key: str):
@@ -300,32 +316,45 @@ def _by(key: str):
     return Window.partitionBy(key)
 
 
-def _against_centres(parts: DataFrame, turn: int) -> DataFrame:
+def _against_centres(parts: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
     """(a, centre): nodes with the centres of some of their buckets that they are apart from.
 
     Centres of a bucket are its least nodes in an order that changes with the turn. Which buckets are looked at is no matter
-    of correctness, as all pairs still apart are tested at last.
+    of correctness, as all pairs still apart are tested at last. Both ranks are limited in each task before they are shuffled,
+    and the nodes of a ``hot`` bucket are dealt over copies of its centres.
     """
     some = _by("node").orderBy(F.xxhash64("key", F.lit(turn)), "key")
     probes = parts.withColumn("k", F.row_number().over(some)).where(F.col("k") <= STAR_KEYS).drop("k")
     order = _by("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
     centres = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= STAR_CENTRES)
     centres = centres.select("key", F.col("node").alias("centre"), F.col("label").alias("other"))
-    return probes.join(centres, "key").where("label <> other").select(F.col("node").alias("a"), "centre").distinct()
+    copies = F.coalesce("parts", F.lit(1))
+    probes = probes.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int")).drop("parts")
+    centres = centres.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("parts")
+    return probes.join(centres, ["key", "salt"]).where("label <> other").select(F.col("node").alias("a"), "centre").distinct()
 
 
 def _apart(parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, centre): all pairs of a bucket whose groups differ; sizes and sketches are compared inside the join.
 
-    A pair that shares many buckets is to come out of few: at each it is passed over if the keys just before, of which either
-    node carries some, have one in common. At the least common key nothing before is common, so no pair is lost.
+    Pairs of one group never meet: the groups of a bucket are numbered, and two numbers meet only at the highest bit in which
+    they differ, one on either side of the join. A pair that shares many buckets is to come out of few: at each it is passed
+    over if the keys just before, of which either node carries some, have one in common. At the least common key nothing before
+    is common, so no pair is lost.
     """
+    labels = parts.select("key", "label").distinct()
+    ranked = labels.withColumn("rank", F.row_number().over(_by("key").orderBy("label")) - 1)
+    depth = labels.groupBy("key").agg(F.length(F.bin(F.count(F.lit(1)) - 1)).alias("depth"))
+    ranked = ranked.join(depth, "key")
     before = _by("node").orderBy("key").rowsBetween(-PRIOR_KEYS, -1)
-    held = parts.withColumn("prior", F.collect_list("key").over(before)).join(sketches, "node")
-    a, b = held.alias("a"), held.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") > F.col("b.node"))
+    held = parts.withColumn("prior", F.collect_list("key").over(before)).join(ranked, ["key", "label"])
+    held = held.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("depth") - 1))).withColumn("above", F.expr("shiftright(rank, bit + 1)"))
+    held = held.withColumn("side", F.expr("shiftright(rank, bit) & 1")).drop("label", "rank", "depth").join(sketches, "node")
+    a, b = held.where("side = 0").alias("a"), held.where("side = 1").alias("b")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.bit") == F.col("b.bit")) & (F.col("a.above") == F.col("b.above"))
     once = ~F.arrays_overlap("a.prior", "b.prior")
-    return a.join(b, apart & close("a", "b", percent) & once).select(F.col("a.node").alias("a"), F.col("b.node").alias("centre")).distinct()
+    found = a.join(b, meet & close("a", "b", percent) & once)
+    return found.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("centre")).distinct()
 
 
 def components_query(docs: DataFrame) -> DataFrame:
@@ -333,13 +362,16 @@ def components_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id. Texts without a set all stay."""
-    marked = cut(link_components(docs.select("doc_id", "text"), words, percent).where(F.col("node").isNotNull()))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    dropped = bounded(marked.where(~stays).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct(), ID_ROWS)
+    """``docs`` with one row of each group: that of the smallest id, where ids repeat of the smallest hash of the text, a row
+    without an id only where none has one. Texts without a set all stay."""
+    marked = cut(link_components(docs.select("doc_id", "text"), words, percent).where(F.col("node").isNotNull()).select("doc_id", "hash", "group"))
+    pair = F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")
+    chosen = cut(marked.groupBy("group").agg(F.min(_first_row()).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash")))
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    dropped = bounded(cut(marked.join(chosen, is_chosen, "left_anti").select(*pair).distinct()), ID_ROWS)
     of = lambda other: docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_hash"])
     out = docs.join(dropped, of(dropped), "left_anti")
-    twice = cut(marked.where(stays).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).count().where("count > 1"))
+    twice = cut(marked.groupBy(*pair).count().where("count > 1").join(chosen.withColumnsRenamed({"_id": "doc_id", "_hash": "hash"}), is_chosen, "left_semi"))
     if twice.isEmpty():
         return out
     return out.join(twice, of(twice), "left_anti").unionByName(out.join(twice, of(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

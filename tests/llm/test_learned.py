@@ -152,6 +152,43 @@ def test_jaccard_join_brute_force(spark, words, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, n, c in got if d == c})
 
 
+def test_keep_one_where_ids_repeat_or_lack(spark):
+    """Groups are told apart by their links, not by ids: each keeps exactly one row."""
+    rng = random.Random(9)
+
+    def near(n, seed):
+        base = [f"{seed}x{k}" for k in range(60)]
+        return [" ".join([*base[:-1], f"y{k}"]) for k in range(n)]
+
+    groups = [[(None, t) for t in near(20, "a")], [(7, t) for t in near(5, "b")], [(7, t) for t in near(4, "c")], [(8, t) for t in near(1, "d") * 3] + [(None, near(1, "d")[0])], [(9, near(2, "e")[0]), (10, near(2, "e")[1])]]
+    groups.append([(None, t) for t in near(1, "f") * 2000])
+    rows = [r for g in groups for r in g] + [(None, None), (None, None), (11, ""), (11, "")]
+    rng.shuffle(rows)
+    kept = [(r["doc_id"], r["text"]) for r in parity_join.keep_one(frame(spark, rows), 5, 80).collect()]
+    for g in groups:
+        mine = [r for r in kept if r in g]
+        assert len(mine) == 1, g[0]
+        assert mine[0][0] == min((d for d, _ in g if d is not None), default=None)
+    assert len(kept) == len(groups) + 4
+
+
+def test_jaccard_hot_buckets(spark, monkeypatch):
+    """Buckets are dealt over several tasks, and groups in them are numbered."""
+    monkeypatch.setattr(parity_join, "HOT", 5)
+    monkeypatch.setattr(parity_join, "STARS", (1,))
+    monkeypatch.setattr(parity_join, "STAR_CENTRES", 1)
+    rng = random.Random(11)
+    base = [f"x{k}" for k in range(80)]
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(80)] = f"y{rng.randint(0, 5)}"
+        rows.append((k, " ".join(own)))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in parity_join.link_components(frame(spark, rows), 4, 85).collect())
+    assert got == groups_brute(rows, 4, 85)
+
+
 def test_jaccard_join_nothing(spark):
     assert parity_join.components_query(frame(spark, [])).collect() == []
     assert [tuple(r) for r in parity_join.components_query(frame(spark, [(None, "a b c d e")])).collect()] == [(None, 2, None)]
