@@ -22,17 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every machine sees; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which every machine sees; in local mode a temporary one where that is unset."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = context._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="tallyjoin-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

@@ -287,6 +287,21 @@ def test_stages_keep_clashing_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0
+    last = docs.withColumns({"N_tokens": F.lit(-1), "ids": F.lit("x"), "decoded": F.lit(2)})
+    out = corpus_pipeline.STAGES[4][1](spark, last, SF)
+    assert sorted(out.columns) == sorted([*docs.columns, "n_tokens", "ids"])
+    assert all(r["n_tokens"] == len(r["ids"]) // 4 > 0 and r["text"].startswith("some text") for r in out.collect())
+
+
+def test_pipeline_of_empty_and_null_texts(spark, tmp_path):
+    labels, bench = (common.table(spark, SF, t) for t in ("labels", "benchmark"))
+    for name, rows in (("none", []), ("nulls", [(1, None), (2, ""), (None, None), (None, "a few words"), (3, "a few words"), (3, "a few words")])):
+        at = str(tmp_path / name)
+        frame(spark, rows).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        got = sorted(((r["doc_id"], r["text"], r["n_tokens"]) for r in corpus_pipeline.run(spark, at).collect()), key=str)
+        assert [(d, n) for d, _, n in got] == ([] if not rows else [(1, 0), (2, 0), (3, 3), (None, 0)])
 
 
 def test_all_registered():
