@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import bpe, decontaminate, parity_join, quality, secrets
-from tallyjoin.llm.common import shared_folder, table
+from tallyjoin.llm.common import discard, shared_folder, table
 
 #: Near-duplicate texts: words of a shingle, similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -35,9 +35,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers), their number, and the text decoded from them."""
+    """Token ids (little-endian unsigned 32-bit integers), their number, and the text decoded from them.
+
+    These four columns are the stage's own: input columns ``n_tokens``, ``ids`` and ``decoded`` (in any case) are replaced or go."""
     path = public_tokenizers.path(RANKS)
-    keep = tuple(c for c in docs.columns if c not in ("text", "ids", "decoded"))
+    keep = tuple(c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids", "decoded"))
     df = bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep)
     return df.select(*keep, F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
@@ -54,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    """The last stage's rows. What a stage wrote is deleted once the next one has written its own."""
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_folder(spark), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
