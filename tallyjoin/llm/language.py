@@ -5,7 +5,9 @@ of log-probabilities has a size fixed by the number of languages and buckets, an
 numpy by adding up the rows of their n-grams.
 
 A null text, or one without letters, is 'und' with score 0; so is every text when nothing was learned. Rows with a null
-language teach nothing. Ties go to the language that sorts first.
+language teach nothing. Ties go to the language that sorts first; repeated rows are predicted each, an empty table gives no rows.
+Very long texts are scored in strips. The matrix has MATRIX bytes at most: where many languages would exceed that, n-grams share
+fewer buckets; over LANGUAGES different values of lang are refused, as they can't be languages.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyjoin.llm.arrow import BLOCK, blocks, sums, texts, tidied
+from tallyjoin.llm.arrow import blocks, sums, texts, tidied
 from tallyjoin.llm.common import fold, small_batches
 
 #: Orders of n-grams, bits of a bucket's number for each, and the smoothing count.
 ORDERS, BITS, SMOOTH = (1, 2, 3), 16, 0.5
-SIZE = len(ORDERS) << BITS
+#: Bounds: bytes of the matrix, languages, and n-grams that are scored at once.
+MATRIX, LANGUAGES, STRIP = 1 << 26, 4096, 1 << 19
 SPACE = 32
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -48,7 +51,12 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _letters()[points], before[offsets]
 
 
-def buckets(points: np.ndarray, order: int) -> np.ndarray:
+def bits_for(languages: int) -> int:
+    """Bits of a bucket's number: as many as the matrix's bound allows."""
+    return max(4, min(BITS, (MATRIX // (8 * len(ORDERS) * max(1, languages))).bit_length() - 1))
+
+
+def buckets(points: np.ndarray, order: int, bits: int = BITS) -> np.ndarray:
     """The bucket of the n-gram that starts at each place."""
     n = len(points) - order + 1
     if n <= 0:
@@ -57,15 +65,16 @@ def buckets(points: np.ndarray, order: int) -> np.ndarray:
     for k in range(order):
         mixed = (mixed ^ wide[k : k + n]) * _FACTORS[k]
         mixed ^= mixed >> np.uint64(29)
-    return ((mixed * _FACTORS[0]) >> np.uint64(64 - BITS)).astype(np.int64) + (ORDERS.index(order) << BITS)
+    return ((mixed * _FACTORS[0]) >> np.uint64(64 - bits)).astype(np.int64) + (ORDERS.index(order) << bits)
 
 
 def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
     """language (its index), bucket, n over all rows of ``docs`` (text, lang)."""
-    index = {x: k for k, x in enumerate(languages)}
+    index, bits = {x: k for k, x in enumerate(languages)}, bits_for(len(languages))
+    size = len(ORDERS) << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(index), SIZE), np.int64)
+        total = np.zeros((len(index), size), np.int64)
         for block in blocks(batches):
             points, offsets = characters(block.column(0))
             starts, ends = offsets[:-1], offsets[1:]
@@ -73,11 +82,11 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
             own = np.repeat(lang, ends - starts)
             last = np.repeat(ends, ends - starts)
             for order in ORDERS:
-                b = buckets(points, order)
+                b = buckets(points, order, bits)
                 inside = np.arange(len(b)) + order <= last[: len(b)]
                 b, of = b[inside], own[: len(b)][inside]
                 for k in np.unique(lang):
-                    total[k] += np.bincount(b[of == k], minlength=SIZE)
+                    total[k] += np.bincount(b[of == k], minlength=size)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], names=["language", "bucket", "n"])
 
@@ -87,17 +96,20 @@ def count_ngrams(docs: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities [SIZE, languages], log-priors) from text and lang of all rows of ``docs``."""
+    """(languages, log-probabilities [buckets of all orders, languages], log-priors) from text and lang of all rows of ``docs``."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    priors = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    priors = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(priors) > LANGUAGES:
+        raise ValueError(f"lang has over {LANGUAGES} different values")
     languages = sorted(priors)
     if not languages:
-        return [], np.zeros((SIZE, 0)), np.zeros(0)
+        return [], np.zeros((len(ORDERS) << BITS, 0)), np.zeros(0)
     rows = count_ngrams(docs, languages).toArrow()
-    counts = np.full((SIZE, len(languages)), SMOOTH)
+    bits = bits_for(len(languages))
+    counts = np.full((len(ORDERS) << bits, len(languages)), SMOOTH)
     counts[rows["bucket"].to_numpy(), rows["language"].to_numpy()] += rows["n"].to_numpy()
-    per_order = counts.reshape(len(ORDERS), 1 << BITS, -1)
-    logs = np.log(per_order / per_order.sum(axis=1, keepdims=True)).reshape(SIZE, -1)
+    per_order = counts.reshape(len(ORDERS), 1 << bits, -1)
+    logs = np.log(per_order / per_order.sum(axis=1, keepdims=True)).reshape(counts.shape)
     prior = np.array([priors[x] for x in languages], float)
     return languages, logs, np.log(prior / prior.sum())
 
@@ -111,15 +123,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logs, prior = shared.value
-        for block in blocks(batches, limit=max(1 << 14, BLOCK * 4 // max(4, len(languages)))):
+        for block in blocks(batches):
             points, offsets = characters(block.column(1))
             starts, ends = offsets[:-1], offsets[1:]
             lettered = sums((points != SPACE).astype(np.int64), starts, ends) > 0
             best, score = np.zeros(block.num_rows, np.int64), np.zeros(block.num_rows)
             if languages:
                 likelihood = np.tile(prior, (block.num_rows, 1))
+                bits, strip = bits_for(len(languages)), max(1 << 12, STRIP * 4 // len(languages))
                 for order in ORDERS:
-                    likelihood += sums(logs[buckets(points, order)], starts, np.maximum(starts, ends - order + 1))
+                    bucket, last = buckets(points, order, bits), np.maximum(starts, ends - order + 1)
+                    for at in range(0, len(bucket), strip):
+                        inside = lambda x: np.clip(x, at, at + strip) - at  # noqa: B023, E731
+                        likelihood += sums(logs[bucket[at : at + strip]], inside(starts), inside(last))
                 best = likelihood.argmax(axis=1)
                 score = 1 / np.exp(likelihood - likelihood.max(axis=1, keepdims=True)).sum(axis=1)
             known = lettered & bool(languages)

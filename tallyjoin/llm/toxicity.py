@@ -6,8 +6,12 @@ by the extreme-value law of the best segment of harmless texts, P(best > s) = 1
 makes long texts no more suspect than short ones. A text's evidence is the sum of -ln E over its significant segments; a
 logistic curve turns it into a score.
 
-Null and empty texts have no segment and get the score of no evidence. Without labels of both classes every score is 0.
-Repeated rows are scored each; a label that stands twice for an id counts once for each pair.
+Every significant word counts, however many there are: their odds are broadcast up to ODDS_ROWS, and met by a join on the word
+beyond that; both give the same passages.
+
+Null and empty texts have no segment and get the score of no evidence; an empty table gives no rows. Without labels of both
+classes every score is 0. Repeated rows are scored each; a label that stands twice for an id counts once for each pair. Very long
+texts are read once, word by word; segments of equal score are told apart by their place.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyjoin.llm.arrow import blocks, tidied
-from tallyjoin.llm.common import LOWER, UPPER, bounded, fold, small_batches, words_of
+from tallyjoin.llm.common import LOWER, UPPER, bounded, cut, fold, small_batches, words_of
 
 #: Weight of the prior in texts, the least odds and significance of a word that counts, cost of any other word.
 PRIOR, LEAST_ODDS, LEAST_Z, COST = 5.0, 1.5, 3.0, 0.05
-#: Bounds: words of a model; labelled rows that fit the calibration; labels that may be broadcast.
-MODEL_WORDS, CALIBRATION_ROWS, LABEL_ROWS = 50_000, 20_000, 2_000_000
+#: Bounds: words whose odds may be broadcast (about 150 bytes each); labelled rows that fit the calibration; labels that may be broadcast.
+ODDS_ROWS, CALIBRATION_ROWS, LABEL_ROWS = 500_000, 20_000, 2_000_000
 #: A segment counts when so many as good are expected in a harmless text.
 SIGNIFICANT = 1.0
 
@@ -38,7 +42,9 @@ _TABLE = bytes(_TABLE)
 
 @dataclass(frozen=True)
 class Model:
-    odds: dict[bytes, float]
+    """odds: word -> log-odds, or a table (word, odds) where there are too many."""
+
+    odds: dict[bytes, float] | DataFrame
     rate: float = 1.0
     scale: float = 1.0
     slope: float = 0.0
@@ -85,30 +91,50 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(bounded(known, LABEL_ROWS), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
-def word_odds(train: DataFrame) -> dict[bytes, float]:
-    """Log-odds of the words that are significantly more common in toxic texts; counts are of texts, over all of ``train``."""
+def word_odds(train: DataFrame) -> DataFrame:
+    """word and log-odds of the words that are significantly more common in toxic texts; counts are of texts, over all of ``train``."""
     words = train.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"), "toxic")
     counts = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     totals = train.select("toxic", F.size(F.array_distinct(words_of(F.col("text")))).alias("n")).groupBy("toxic").agg(F.sum("n").alias("n"))
     by = {r["toxic"]: float(r["n"] or 0) for r in totals.collect()}
     toxic, other = by.get(1, 0.0), by.get(0, 0.0)
     if not toxic or not other:
-        return {}
+        return counts.select("word", F.lit(0.0).alias("odds")).where("false")
     share = toxic / (toxic + other)
     a, b = F.col("a") + PRIOR * share, F.col("b") + PRIOR * (1 - share)
     odds = F.log(a / toxic) - F.log(b / other)
     z = odds / F.sqrt(1 / a + 1 / b)
-    kept = counts.where("a > 1").select("word", odds.alias("odds"), z.alias("z")).where((F.col("odds") > LEAST_ODDS) & (F.col("z") > LEAST_Z))
-    return {r["word"].encode(): r["odds"] for r in kept.orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()}
+    return counts.where("a > 1").select("word", odds.alias("odds"), z.alias("z")).where((F.col("odds") > LEAST_ODDS) & (F.col("z") > LEAST_Z)).select("word", "odds")
+
+
+def held_odds(table: DataFrame, most: int) -> dict[bytes, float] | DataFrame:
+    """The odds as a dictionary if there are at most ``most``, else the table itself."""
+    if table.limit(most + 1).count() > most:
+        return table
+    return {r["word"].encode(): r["odds"] for r in table.collect()}
+
+
+PASSAGE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
+
+
+def _found(model: Model, hits: list[tuple[int, float]], n: int) -> tuple[list[dict], float]:
+    """The passages of a text of ``n`` words with these scored words, and its evidence."""
+    best = segments(hits) if hits else []
+    expected = [float(model.expected(np.float64(s), n)) for _, _, s in best]
+    found = [{"start": b, "end": e, "score": s, "expected": x} for (b, e, s), x in zip(best, expected)]
+    return found, sum(-np.log(max(x, 1e-300)) for x in expected if x < SIGNIFICANT)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but text, and n_words, passages (start and end word, score, expected number), evidence."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "text"]
-    passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    made = ["n_words bigint", "passages array<struct<start:int,end:int,score:double,expected:double>>", "evidence double"]
+    if isinstance(model.odds, DataFrame):
+        return _by_join(docs, model, keep, made)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -117,20 +143,32 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             sizes, found, evidence = [], [], []
             for text in block.column(len(keep)).cast(pa.binary()).to_pylist():
                 words = (text or b"").translate(_TABLE).split()
-                hits = [(k, odds[w]) for k, w in enumerate(words) if w in odds]
-                best = segments(hits) if hits else []
-                expected = [float(model.expected(np.float64(s), len(words))) for _, _, s in best]
+                mine = _found(model, [(k, odds[w]) for k, w in enumerate(words) if w in odds], len(words))
                 sizes.append(len(words))
-                found.append([{"start": b, "end": e, "score": s, "expected": x} for (b, e, s), x in zip(best, expected)])
-                evidence.append(sum(-np.log(max(x, 1e-300)) for x in expected if x < SIGNIFICANT))
-            yield pa.RecordBatch.from_arrays(
-                [*block.columns[:-1], pa.array(sizes, pa.int64()), pa.array(found, passage), pa.array(evidence, pa.float64())],
-                names=[*keep, "n_words", "passages", "evidence"],
-            )
+                found.append(mine[0])
+                evidence.append(mine[1])
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(sizes, pa.int64()), pa.array(found, PASSAGE), pa.array(evidence, pa.float64())], names=[*keep, "n_words", "passages", "evidence"])
+
+    return docs.select(*keep, "text").mapInArrow(tidied(run), ", ".join([*fields, *made]))
+
+
+def _by_join(docs: DataFrame, model: Model, keep: list[str], made: list[str]) -> DataFrame:
+    """The same by a join of words with the table of odds; only scored words come back to their text, known by its hash."""
+    plain = replace(model, odds={})
+    hashed = docs.withColumn("_row", F.sha1(F.coalesce("text", F.lit(""))))
+    words = hashed.dropDuplicates(["_row"]).select("_row", words_of(F.col("text")).alias("words"))
+    met = words.select("_row", F.posexplode("words").alias("at", "word")).join(model.odds, "word")
+    hits = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("hits"))
+    texts = words.select("_row", F.size("words").cast("bigint").alias("n")).join(hits, "_row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_pylist()
+            mine = [_found(plain, [(h["at"], h["odds"]) for h in hits or []], size) for size, hits in zip(n, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in mine], PASSAGE), pa.array([e for _, e in mine], pa.float64())], names=["_row", "n_words", "passages", "evidence"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    schema += ["n_words bigint", "passages array<struct<start:int,end:int,score:double,expected:double>>", "evidence double"]
-    return docs.select(*keep, "text").mapInArrow(tidied(run), ", ".join(schema))
+    scored = texts.mapInArrow(tidied(run), ", ".join(["_row string", *made]))
+    return hashed.select("_row", *keep).join(scored, "_row").select(*keep, "n_words", "passages", "evidence")
 
 
 def _extreme_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -159,14 +197,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return max(0.0, float(w[0])), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Word odds from all labelled rows; calibration from CALIBRATION_ROWS of them at most, in an order by hash."""
+def train(docs: DataFrame, labels: DataFrame, most: int = ODDS_ROWS) -> Model:
+    """Word odds from all labelled rows; calibration from those of CALIBRATION_ROWS ids at most, in an order by hash."""
     rows = labelled(docs, labels)
-    odds = word_odds(rows)
+    odds = held_odds(cut(word_odds(rows)), most)
     if not odds:
         return Model({})
-    sample = rows.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select(F.col("doc_id").alias("_id")).distinct()
-    some = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    sample = rows.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS)
+    # One text of an id and label, however often the id stands there.
+    of_ids = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic")
+    some = of_ids.agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("toxic", F.col("least.text").alias("text"))
     plain = passages(some, Model(odds)).select("toxic", "n_words", F.transform("passages", lambda p: p["score"]).alias("scores")).toArrow()
     toxic, n = plain["toxic"].to_numpy(), plain["n_words"].to_numpy()
     scores = [np.array(s, float) for s in plain["scores"].to_pylist()]
@@ -191,7 +231,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return df.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "passages")
 
 
-def toxicity_query(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
+def toxicity_query(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, most: int = ODDS_ROWS) -> DataFrame:
     """Learns from the labels outside the held-out fold and scores every row."""
-    model = train(docs, labels.where(fold(F.col("doc_id"), parts) != held))
+    model = train(docs, labels.where(fold(F.col("doc_id"), parts) != held), most)
     return score_toxicity(docs, model).select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", "predicted")

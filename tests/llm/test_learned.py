@@ -57,11 +57,68 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0) for r in out)
     known = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 600 and r["held_out"]]
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in known) >= 0.97 * len(known)
+    joined = toxicity.toxicity_query(frame(spark, rows), labels, most=1).collect()
+    plain = lambda rows: sorted(((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in rows), key=str)
+    assert plain(joined) == plain(out)
     none = toxicity.toxicity_query(frame(spark, rows), labels.where("false")).collect()
     assert {r["score"] for r in none} == {0.0}
     assert toxicity.toxicity_query(frame(spark, []), labels).collect() == []
 
 
+def test_toxicity_brute_force(spark):
+    """Odds counted, segments found and evidence summed by plain loops; long texts, repeated rows and ties."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(12)) + (" vile Nasty vile" if k % 3 == 0 else "")) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + [(900, "a b " * 30_000 + "vile nasty"), (901, "vile"), (901, "vile"), (902, "vile a vile")])
+    model = toxicity.train(docs, labels)
+    sets = [({w for w in re.findall("[a-z]+", t.lower())}, k % 3 == 0) for k, t in rows]
+    total = [sum(len(s) for s, bad in sets if bad == x) for x in (False, True)]
+    share = total[1] / sum(total)
+    for word in {w for s, _ in sets for w in s}:
+        a = sum(word in s for s, bad in sets if bad) + toxicity.PRIOR * share
+        b = sum(word in s for s, bad in sets if not bad) + toxicity.PRIOR * (1 - share)
+        odds = math.log(a / total[1]) - math.log(b / total[0])
+        kept = odds > toxicity.LEAST_ODDS and odds / math.sqrt(1 / a + 1 / b) > toxicity.LEAST_Z
+        assert (model.odds.get(word.encode()) == pytest.approx(odds)) if kept else word.encode() not in model.odds
+    got = toxicity.passages(docs.select("doc_id", "text"), model).collect()
+    texts = dict(rows) | {900: "a b " * 30_000 + "vile nasty", 901: "vile", 902: "vile a vile"}
+    assert len(got) == 204 and set(model.odds) == {b"vile", b"nasty"}
+    for r in got:
+        words = re.findall("[a-z]+", texts[r["doc_id"]].lower())
+        hits = [(k, model.odds[w.encode()]) for k, w in enumerate(words) if w.encode() in model.odds]
+        expected = [model.scale * len(words) * math.exp(-model.rate * s) for *_, s in toxicity.segments(hits)]
+        assert r["n_words"] == len(words) and r["evidence"] == pytest.approx(sum(-math.log(x) for x in expected if x < toxicity.SIGNIFICANT))
+
+
+def test_language_brute_force(spark, monkeypatch):
+    """The posterior by plain loops over n-grams; strips, ties, repeated rows, no rows; fewer buckets for many languages."""
+    monkeypatch.setattr(language, "STRIP", 1 << 12)
+    rng = random.Random(12)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "éñabü "}
+    rows = [(k, "".join(rng.choice(alphabets[x]) for _ in range(rng.randint(1, 60))), x) for k in range(90) for x in [rng.choice(list(alphabets))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    count = {x: {} for x in alphabets}
+    gram = lambda t, o: [t[i : i + o] for i in range(len(t) - o + 1)]
+    for _, t, x in rows:
+        for o in language.ORDERS:
+            for g in gram(t, o):
+                count[x][g] = count[x].get(g, 0) + 1
+    totals = {(x, o): sum(n for g, n in count[x].items() if len(g) == o) + language.SMOOTH * (1 << language.BITS) for x in alphabets for o in language.ORDERS}
+    ask = rows[:40] + [(1000, "".join(rng.choice("abcdeñ ") for _ in range(20_000)), None), (1001, "z", None), (1001, "z", None)]
+    got = language.predict(spark.createDataFrame(ask, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == len(ask)
+    by = {r["doc_id"]: r for r in got}
+    for k, t, _ in ask:
+        logs = {x: math.log(sum(r[2] == x for r in rows) / len(rows)) + sum(math.log((count[x].get(g, 0) + language.SMOOTH) / totals[x, o]) for o in language.ORDERS for g in gram(t, o)) for x in alphabets}
+        best = max(sorted(logs), key=logs.get)
+        if any(c.isalpha() for c in t):
+            assert by[k]["lang_pred"] == best and by[k]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-6)
+    assert language.predict(docs.where("false"), model).collect() == []
+    assert language.bits_for(4) == language.BITS and all(3 * 8 * n << language.bits_for(n) <= max(language.MATRIX, 24 * 16 * n) for n in (1, 50, 500, 4096))
+
+
 def test_language(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     out = language.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id")
@@ -228,9 +285,60 @@ def test_quality_of_a_rare_language(spark):
 
 def test_quality_by_broadcast_and_by_join(spark):
     docs = common.table(spark, SF, "documents").select("doc_id", "lang", "text").limit(40).unionByName(frame(spark, [(1, None), (2, "")]).select("doc_id", "lang", "text"))
-    table = quality.count_codes(docs).select("code", (F.col("n") / 7).cast("float").alias("cost"))
-    rows = [sorted(quality.perplexities(docs, table, most).select("doc_id", "n_bytes", F.round("log_ppl", 6)).collect()[:], key=str) for most in (10**6, 1)]
-    assert rows[0] == rows[1]
+    table = quality.count_codes(docs).select("code", "n", (F.col("n") / 7).cast("float").alias("cost"))
+    rows = [sorted(quality.perplexities(docs, table, most).select("doc_id", "n_bytes", F.round("log_ppl", 6)).collect()[:], key=str) for most in (10**6, 1, 2000)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def kneser_ney(trusted, order=5):
+    """p(last byte | bytes before) of interpolated modified Kneser-Ney, by recursion over plain dictionaries."""
+    same = bytes(48 if 48 <= b <= 57 else 32 if b in (9, 10, 13) else b for b in range(256))
+    grams = [{} for _ in range(order + 1)]
+    for t in trusted:
+        t = b"\0" * (order - 1) + t.encode().translate(same)
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            grams[order][g] = grams[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+    off = [None]
+    for k in range(1, order + 1):
+        n = [sum(v == x for v in grams[k].values()) for x in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        off.append([min(max(x - (x + 1) * y * n[x] / n[x - 1], 0.01), x - 0.01) for x in (1, 2, 3)] if all(n) else [0.5, 1.0, 1.5])
+    seen = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, n in grams[k].items():
+            seen[k].setdefault(g[:-1], []).append(n)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, ns = len(g), seen[len(g)].get(g[:-1])
+        if not ns:
+            return p(g[1:])
+        cut = lambda n: off[k][min(n, 3) - 1]
+        n = grams[k].get(g, 0)
+        return ((n - cut(n)) if n else 0) / sum(ns) + sum(map(cut, ns)) / sum(ns) * p(g[1:])
+
+    def log_ppl(t):
+        t = b"\0" * (order - 1) + t.encode().translate(same)
+        return -sum(math.log(p(t[i - order + 1 : i + 1])) for i in range(order - 1, len(t))) / (len(t) - order + 1)
+
+    return log_ppl
+
+
+def test_perplexity_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcde é1\n") for _ in range(rng.randint(1, 90)))
+    rows = [(k, text()) for k in range(150)] + [(900, "é" * 3000)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    want = kneser_ney([t for k, t in rows if k % 2 == 0 and k < 150 and zlib.crc32(str(k).encode()) % quality.FOLDS != quality.FOLDS - 1])
+    got = {r["doc_id"]: r["log_ppl"] for r in quality.judge(frame(spark, rows).select("doc_id", "lang", "text"), labels).collect()}
+    for k, t in rows:
+        assert got[k] == pytest.approx(want(t), abs=1e-5)
+    assert quality.quality_query(frame(spark, []), labels).collect() == []
 
 
 def test_nearest_recall(spark):
