@@ -7,6 +7,10 @@ number is the quantile, over their true neighbours, of the entries that the walk
 at least, so that each query gets k rows where there are as many. Equal vectors are one entry with their smallest ids (k + 1 of them: no query can need more). Codebooks
 are fitted on a bounded sample; every row is indexed.
 
+Cells lie in groups of GROUP entries at most, in the order of their numbers; a larger cell is dealt over several groups. A query
+goes once to each group that holds a cell of its walk, with the list of these cells, and a group that many queries look at is given
+out several times. So a task holds a bounded part of the entries and of the queries, whatever one cell holds.
+
 Vectors take no part that are null, zero, of another length than most, or hold a null or a value that is not finite; nor do rows
 without an id. A row that repeats another's id and vector is the same row. Ties in distance go to the smaller id.
 """
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from tallyjoin.llm.arrow import tidied
 from tallyjoin.llm.common import cut, small_batches
 
-#: Vectors that fit the codebooks; bounds of K; rounds of k-means; queries of a cell in one task; queries a task holds results of.
-SAMPLE, LEAST_K, MOST_K, ROUNDS, SALT, HELD = 20_000, 4, 256, 12, 2_000, 20_000
+#: Vectors that fit the codebooks; bounds of K; rounds of k-means; entries of a group and queries that it meets in one task.
+SAMPLE, LEAST_K, MOST_K, ROUNDS, GROUP, SALT = 20_000, 4, 512, 12, 4_096, 2_000
+#: Pairs whose exact distance is known that a task holds before it keeps the best of them.
+PENDING = 100_000
 #: Queries whose exact neighbours tell how many entries a query has to look at, and the recall that is asked for.
 TRIALS, RECALL = 200, 0.97
 KEY = ("k1", "k2")
@@ -107,23 +113,45 @@ def assign(entries: DataFrame, books: tuple[np.ndarray, np.ndarray]) -> DataFram
     return entries.mapInArrow(tidied(run), schema + ", cell int")
 
 
-def probes(queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, wanted: int) -> DataFrame:
-    """k1, k2, embedding, cell: the cells that each query looks at."""
-    shared = queries.sparkSession.sparkContext.broadcast((*books, sizes))
+def layout(sizes: np.ndarray, limit: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """(first group of each cell, number of its groups): cells side by side share a group while they fit, larger ones have several."""
+    first, pieces = np.zeros(len(sizes), np.int32), np.maximum(1, -(-sizes // limit)).astype(np.int32)
+    group = held = 0
+    for cell, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
+            group, held = group + 1, 0
+        first[cell], held = group, held + size
+        if size > limit:
+            group, held = group + int(pieces[cell]), 0
+    return first, pieces
+
+
+def probes(queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, groups: tuple[np.ndarray, np.ndarray], wanted: int) -> DataFrame:
+    """k1, k2, embedding, group, cells: the cells that each query looks at, by group."""
+    shared = queries.sparkSession.sparkContext.broadcast((*books, sizes, *groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, sizes = shared.value
+        one, two, sizes, first, pieces = shared.value
         for batch in batches:
             x = matrix(batch.column(2))
             if not len(x):
                 continue
             a, b = squared(x[:, : one.shape[1]], one), squared(x[:, one.shape[1] :], two)
-            cells = [walk(p, q, sizes, wanted) for p, q in zip(a, b)]
-            at = pa.array(np.repeat(np.arange(len(x)), [len(c) for c in cells]))
-            flat = pa.array([c for found in cells for c in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), flat], names=["k1", "k2", "embedding", "cell"])
-
-    return queries.select("k1", "k2", "embedding").mapInArrow(tidied(run), "k1 bigint, k2 bigint, embedding array<float>, cell int")
+            row, group, cell = [], [], []
+            for k, (p, q) in enumerate(zip(a, b)):
+                cells = np.array(walk(p, q, sizes, wanted), np.int32)
+                many = pieces[cells]
+                row.append(np.full(many.sum(), k))
+                group.append(np.repeat(first[cells] - np.cumsum(many) + many, many) + np.arange(many.sum()))
+                cell.append(np.repeat(cells, many))
+            row, group, cell = (np.concatenate(v) for v in (row, group, cell))
+            order = np.lexsort((cell, group, row))
+            row, group, cell = row[order], group[order], cell[order]
+            begin = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(group) != 0)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[begin])) for k in range(3)), pa.array(group[begin].astype(np.int32)), lists], names=["k1", "k2", "embedding", "group", "cells"])
+
+    return queries.select("k1", "k2", "embedding").mapInArrow(tidied(run), "k1 bigint, k2 bigint, embedding array<float>, group int, cells array<int>")
 
 
 def _best(found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,59 +160,87 @@ def _best(found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarra
     return d[order], ids[order]
 
 
-def scan_cells(probes_: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """k1, k2, vec_id, score: for each query and cell the k + 1 nearest. Entries of a cell stream past its queries.
+class Nearest:
+    """The k + 1 nearest entries that some queries have met so far.
 
-    A cell that many queries look at is given out several times, its queries dealt among the copies.
+    A product of matrices gives all distances of a cell's queries and entries but for rounding; only pairs that may be among
+    the best by these are measured exactly.
     """
-    asked = probes_.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    shares = F.ceil(F.col("asked") / SALT).cast("int")
-    left = probes_.join(asked, "cell").select("cell", F.pmod(F.xxhash64(*KEY), shares).cast("int").alias("salt"), F.lit(0).alias("role"), "k1", "k2", "embedding", F.array().cast("array<bigint>").alias("ids"))
-    right = index.join(asked, "cell").select("cell", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), F.lit(1).alias("role"), "k1", "k2", "embedding", "ids")
-    rows = left.unionByName(right).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "role")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, asks, asked_by = None, [], []
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-        def results() -> Iterator[pa.RecordBatch]:
-            if best:
-                n = [len(d) for d, _ in best.values()]
-                keys = np.repeat(np.array(list(best), np.int64), n, axis=0)
-                d, ids = (np.concatenate(x) for x in zip(*best.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids), pa.array(d)], names=["k1", "k2", "vec_id", "score"])
-                best.clear()
+    def __init__(self, keys: np.ndarray, x: np.ndarray, cells: list[list[int]], k: int):
+        self.keys, self.x, self.k = keys, x, k
+        self.norms, self.limit = (x * x).sum(1), np.full(len(x), np.inf)
+        flat = np.array([c for own in cells for c in own], np.int64)
+        of = np.repeat(np.arange(len(x)), [len(c) for c in cells])
+        order = np.argsort(flat, kind="stable")
+        self.cells, self.of = flat[order], of[order]
+        self.held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+
+    def meet(self, cell: int, y: np.ndarray, ids: pa.ListArray) -> None:
+        asks = self.of[slice(*np.searchsorted(self.cells, [cell, cell + 1]))]
+        if not len(asks):
+            return
+        norms = (y * y).sum(1)
+        d = self.norms[asks][:, None] - 2 * self.x[asks] @ y.T + norms[None]
+        rounding = 1e-12 * (self.norms[asks] + norms.max())
+        if len(y) > self.k:
+            self.limit[asks] = np.minimum(self.limit[asks], np.partition(d, self.k, axis=1)[:, self.k] + rounding)
+        a, b = np.nonzero(d <= (self.limit[asks] + rounding)[:, None])
+        exact = np.sqrt(((y[b] - self.x[asks[a]]) ** 2).sum(1))
+        offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        many = np.diff(offsets)[b]
+        at = np.repeat(offsets[b] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        self.held.append((np.repeat(asks[a], many), np.repeat(exact, many), flat[at]))
+        if sum(len(h[0]) for h in self.held[1:]) > PENDING:
+            self.keep_best()
+
+    def keep_best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of, d, ids = (np.concatenate(v) for v in zip(*self.held))
+        order = np.lexsort((ids, d, of))
+        of, d, ids = of[order], d[order], ids[order]
+        first = np.flatnonzero(np.append(True, np.diff(of) != 0)) if len(of) else np.zeros(0, np.int64)
+        rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+        last = rank == self.k
+        self.limit[of[last]] = np.minimum(self.limit[of[last]], d[last] ** 2)
+        kept = rank <= self.k
+        self.held = [(of[kept], d[kept], ids[kept])]
+        return self.held[0]
+
+    def batch(self) -> pa.RecordBatch:
+        of, d, ids = self.keep_best()
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[of, 0]), pa.array(self.keys[of, 1]), pa.array(ids), pa.array(d)], names=["k1", "k2", "vec_id", "score"])
+
+
+def scan_groups(probes_: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """k1, k2, vec_id, score: for each query and group the k + 1 nearest. Entries of a group stream past its queries."""
+    asked = probes_.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("shares"))
+    left = probes_.join(asked, "group").select("group", F.pmod(F.xxhash64(*KEY), "shares").cast("int").alias("salt"), F.lit(-1).alias("cell"), "k1", "k2", "embedding", F.array().cast("array<bigint>").alias("ids"), "cells")
+    right = index.join(asked, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), "cell", "k1", "k2", "embedding", "ids", F.array().cast("array<int>").alias("cells"))
+    rows = left.unionByName(right).repartition("group", "salt").sortWithinPartitions("group", "salt", "cell")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, asks, best = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells, salts, roles = (batch.column(c).to_numpy() for c in range(3))
-            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(salts) != 0) | (np.diff(roles) != 0)) + 1
-            for begin, end in zip([0, *cuts], [*cuts, len(cells)]):
-                part, spot = batch.slice(begin, end - begin), (cells[begin], salts[begin])
+            group, salt, cell = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(salt) != 0) | (np.diff(cell) != 0)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(cell)]):
+                part, spot = batch.slice(begin, end - begin), (group[begin], salt[begin])
                 if spot != here:
-                    here, asks, asked_by = spot, [], []
-                    if len(best) > HELD:
-                        yield from results()
+                    if best:
+                        yield best.batch()
+                    here, asks, best = spot, [], None
                 x = matrix(part.column(5))
-                if roles[begin] == 0:
-                    asks += list(x)
-                    asked_by += list(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
-                    continue
-                ids = part.column(6)
-                many = np.diff(ids.offsets.to_numpy())
-                flat = ids.flatten().to_numpy()
-                for q, key in zip(asks, asked_by):
-                    d = np.repeat(np.sqrt(((x - q) ** 2).sum(1)), many)
-                    if key in best and len(best[key][0]) > k:
-                        # What is farther than the last of a full list needs no sorting.
-                        maybe = d <= best[key][0][-1]
-                        if not maybe.any():
-                            continue
-                        best[key] = _best([best[key], (d[maybe], flat[maybe])], k + 1)
-                    else:
-                        best[key] = _best([*([best[key]] if key in best else []), (d, flat)], k + 1)
-        yield from results()
+                if cell[begin] < 0:
+                    asks.append((np.stack([part.column(c).to_numpy() for c in (3, 4)], axis=1), x, part.column(7).to_pylist()))
+                elif asks:
+                    if best is None:
+                        keys, points, cells = zip(*asks)
+                        best = Nearest(np.concatenate(keys), np.concatenate(points), [c for part in cells for c in part], k)
+                    best.meet(int(cell[begin]), x, part.column(6))
+        if best:
+            yield best.batch()
 
     return rows.mapInArrow(tidied(run), "k1 bigint, k2 bigint, vec_id bigint, score double")
 
@@ -245,7 +301,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, wanted: int | Non
     asking = cut(rows.where(is_query).select("vec_id", *KEY).distinct().withColumnRenamed("vec_id", "query_id"))
     queries = index.join(asking.select(*KEY).distinct(), list(KEY), "left_semi")
     wanted = max(wanted or calibrate(index, queries, books, sizes, k), k + 1)
-    found = scan_cells(probes(queries, books, sizes, wanted), index, k)
+    groups = layout(sizes)
+    # At most MOST_K ** 2 rows.
+    where = spark.createDataFrame(pa.table({"cell": np.arange(len(sizes), dtype=np.int32), "first": groups[0], "pieces": groups[1]}))
+    dealt = index.join(F.broadcast(where), "cell").withColumn("group", (F.col("first") + F.pmod(F.xxhash64(*KEY), "pieces")).cast("int"))
+    found = scan_groups(probes(queries, books, sizes, groups, wanted), dealt, k)
     order = Window.partitionBy(*KEY).orderBy("score", "vec_id")
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     mine = asking.join(best, list(KEY)).where("vec_id <> query_id")

@@ -374,6 +374,43 @@ def test_nearest_where_one_entry_seems_enough(spark):
     assert len(got) == 4 and {r["count"] for r in got} == {10}
 
 
+def test_nearest_in_hot_cells_and_groups(spark, monkeypatch):
+    """Small groups and shares, a cell of most rows, ties, repeated rows: all is found where every entry is looked at."""
+    monkeypatch.setattr(multi_index, "SALT", 3)
+    monkeypatch.setattr(multi_index, "PENDING", 50)
+    layout = multi_index.layout
+    monkeypatch.setattr(multi_index, "layout", lambda sizes: layout(sizes, 16))
+    x = np.random.default_rng(7).integers(-2, 3, (400, 6)).astype(np.float32) + np.float32(0.5)
+    x[:250] = x[0] + np.random.default_rng(8).integers(0, 2, (250, 6)).astype(np.float32) * np.float32(1e-3)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(5, x[5].tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in multi_index.nearest(df, F.col("vec_id") % 10 == 0, wanted=1000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    y = x.astype(np.float64)
+    assert len(got) == 40
+    for q, found in got.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        want = [int(k) for k in np.lexsort((np.arange(400), d)) if k != q][:10]
+        assert [(r, v) for r, v, _ in sorted(found)] == list(enumerate(want, 1)) and all(s == d[v] for _, v, s in found)
+
+
+def test_groups_of_cells():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(0, 20, 300)
+    sizes[[5, 17, 299]] = 100, 33, 64
+    first, pieces = multi_index.layout(sizes, 32)
+    held, large = {}, set()
+    for cell, size in enumerate(sizes):
+        own = range(first[cell], first[cell] + pieces[cell])
+        assert pieces[cell] == max(1, -(-size // 32)) and not large & set(own)
+        if size > 32:
+            large |= set(own)
+            assert not large & set(held)
+        else:
+            held[int(first[cell])] = held.get(int(first[cell]), 0) + size
+    assert max(held.values()) <= 32
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(1)
     a, b, sizes = rng.random(6), rng.random(5), rng.integers(0, 3, 30)
