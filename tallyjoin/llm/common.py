@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Characters that end a word in the strict word rule: all of ASCII but digits and lower-case letters. Named one by one they are
 #: looked up in a table by the engine of regular expressions; ranges are compared one after the other.
 SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isdigit() and not chr(c).islower()) + "]+"
+#: Bytes of a broadcast table at most, and types whose values have a width of their own.
+BROADCAST_BYTES = 64 << 20
+_FIXED = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,9 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows (counted here); otherwise itself, and the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes; otherwise itself, and the join shuffles.
+
+    Both are measured here; bytes where rows have no fixed width, by what a row takes as JSON."""
+    if all(f.dataType.typeName() in _FIXED for f in df.schema.fields):
+        small = df.limit(rows + 1).count() <= rows
+    else:
+        n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).collect()[0]
+        small = n <= rows and held <= size
+    return F.broadcast(df) if small else df
 
 
 def _importable(spark: SparkSession) -> None:

@@ -3,11 +3,15 @@
 1. Count, over the whole corpus, the texts of every term that a benchmark item uses.
 2. In each window of an item take its two rarest terms; only these terms' postings (text, position) are stored.
 3. Shift each posting by the term's place in the item: both terms of a window must meet on one shifted place (phrase), or
-   within a slop of each other (proximity).
-4. Read the texts again and verify whole windows at those places.
+   within a slop of each other (proximity: a word inserted, dropped or put for another between or beside them).
+4. Read the texts again and verify whole windows at the places of phrases.
+
+Postings are written once, for phrases and proximity. Where there are too many anchors to broadcast, texts and anchors meet by
+term in a join that is split where a term is very common.
 
 Rows are told apart by id and hash of the text, so repeated ids are safe. Null ids are a value like others. Null and empty
-texts have no words and no hits; items without words have no window; a null item id counts as the empty id.
+texts have no words and no hits; items without words have no window; a null item id counts as the empty id. Of terms as rare as
+each other the first in the item is the anchor. Empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from tallyjoin.llm.common import bounded, cut, words_of
 
 #: Words of a window; anchors of a window; rows of the benchmark's tables and of candidates that may be broadcast.
 WINDOW, ANCHORS = 13, 2
+#: Words by which the terms of a proximity match may be off their places.
+SLOP = 2
 TERM_ROWS, CANDIDATE_ROWS = 200_000, 40_000
 
 
@@ -71,7 +77,7 @@ def build_index(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Inde
     anchors = items.select("key", "words", F.explode(used).alias("at")).select("key", "at", F.xxhash64(F.get("words", F.col("at"))).alias("term"))
     found = _rows(docs).select("doc_id", "hash", F.posexplode("words").alias("pos", "term")).withColumn("term", F.xxhash64("term"))
     postings = found.join(bounded(anchors, TERM_ROWS), "term").select("doc_id", "hash", "key", "at", (F.col("pos") - F.col("at")).alias("shifted"))
-    return Index(items, anchors, postings)
+    return Index(items, anchors, cut(postings))
 
 
 def phrase_candidates(index: Index) -> DataFrame:
@@ -102,10 +108,14 @@ def proximity_matches(index: Index, slop: int) -> DataFrame:
     return met.where(F.exists("windows", near)).select("doc_id", "hash", "id").distinct()
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each row of ``docs``: the row itself, doc_id, n_words, n_hit, items (sorted ids) and hits, by exact windows."""
-    places = phrase_candidates(build_index(docs, bench, window))
-    per_text = cut(places.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("id", "words", "windows")).alias("places")))
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """A row for each row of ``docs``: the row itself, doc_id, n_words, n_hit, items (sorted ids) and hits, by exact windows; with
+    a ``slop`` also near: sorted ids of the items with a proximity match, exact ones among them."""
+    index = build_index(docs, bench, window)
+    found = phrase_candidates(index).select("doc_id", "hash", F.struct("id", "words", "windows").alias("place"), F.lit(None).cast("string").alias("near"))
+    if slop is not None:
+        found = found.unionByName(proximity_matches(index, slop).select("doc_id", "hash", F.lit(None).alias("place"), F.col("id").alias("near")))
+    per_text = cut(found.groupBy("doc_id", "hash").agg(F.collect_list("place").alias("places"), F.array_sort(F.collect_set("near")).alias("near")))
     per_text = per_text.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words"))
     df = rows.join(bounded(per_text, CANDIDATE_ROWS), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash")), "left")
@@ -115,11 +125,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
         return F.transform(F.filter(place["windows"], same), lambda w: F.struct(w["start"].alias("start"), (w["start"] + w["length"]).alias("end"), place["id"].alias("id")))
 
     hits = F.when(F.col("places").isNull(), F.array().cast("array<struct<start:int,end:int,id:string>>")).otherwise(F.array_sort(F.flatten(F.transform("places", verified))))
-    df = df.select("row", "doc_id", F.size("words").cast("bigint").alias("n_words"), hits.alias("hits"))
+    df = df.select("row", "doc_id", F.size("words").cast("bigint").alias("n_words"), hits.alias("hits"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     add = lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(h["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], h["end"]).alias("end"))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["id"])))
-    return df.select("row", "doc_id", "n_words", F.aggregate("hits", start, add, lambda acc: acc["n"]).cast("bigint").alias("n_hit"), ids.alias("items"), "hits")
+    return df.select("row", "doc_id", "n_words", F.aggregate("hits", start, add, lambda acc: acc["n"]).cast("bigint").alias("n_hit"), ids.alias("items"), "hits", "near")
 
 
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -133,8 +143,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def contamination_digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The figures of the contract from contamination()."""
-    df = contamination(docs.select("doc_id", "text"), bench)
+    """The figures of the contract from contamination(), and n_near: items with a proximity match."""
+    df = contamination(docs.select("doc_id", "text"), bench, slop=SLOP)
     return df.select(
         "doc_id",
         "n_words",
@@ -142,4 +152,5 @@ def contamination_digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+        F.size("near").cast("bigint").alias("n_near"),
     )

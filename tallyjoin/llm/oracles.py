@@ -12,7 +12,8 @@ def _words(column: str, pattern: str) -> str:
 _STRICT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 
-#: Windows of items met with all windows of that length in each document; words have no blank in them.
+#: Windows of items met with all windows of that length in each document; words have no blank in them. n_near: the two rarest
+#: words of a window, by texts that hold them, stand within two words of their places.
 DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text", _STRICT)} AS w FROM documents),
 i AS (SELECT item_id, {_words("text", _STRICT)} AS w FROM benchmark),
 iw AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
@@ -23,9 +24,19 @@ dp AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dn),
 met AS (SELECT rid, s, dp.n, item_id FROM dp JOIN windows ON dp.n = windows.n AND array_to_string(w[s : s + dp.n - 1], ' ') = win),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM met) GROUP BY rid),
 ids AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS joined FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM met) GROUP BY rid),
-f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(joined, '') AS joined
-  FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid))
-SELECT doc_id, n_words, n_hit, n_items, sha256(joined) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM f"""
+held AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT rid, unnest(w) AS term FROM d) GROUP BY term),
+iat AS (SELECT item_id, w, s, unnest(range(s, s + n)) AS ix FROM ip),
+ranked AS (SELECT item_id, w, s, ix, w[ix] AS term, coalesce(held.n, 0) AS n, row_number() OVER (PARTITION BY item_id, w, s ORDER BY coalesce(held.n, 0), ix) AS r FROM iat LEFT JOIN held ON term = w[ix]),
+anchors AS (SELECT DISTINCT a.item_id, a.w, a.ix AS at_a, a.term AS term_a, b.ix AS at_b, b.term AS term_b FROM ranked a LEFT JOIN ranked b ON a.item_id IS NOT DISTINCT FROM b.item_id AND a.w = b.w AND a.s = b.s AND b.r = 2
+  WHERE a.r = 1 AND a.n > 0),
+used AS (SELECT term_a AS term FROM anchors UNION SELECT term_b FROM anchors),
+places AS (SELECT rid, term, p FROM (SELECT rid, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM d) JOIN used USING (term)),
+close AS (SELECT DISTINCT x.rid, item_id FROM anchors JOIN places x ON x.term = term_a LEFT JOIN places y ON y.term = term_b AND y.rid = x.rid AND abs((x.p - at_a) - (y.p - at_b)) <= 2
+  WHERE term_b IS NULL OR y.rid IS NOT NULL),
+near AS (SELECT rid, count(DISTINCT coalesce(CAST(item_id AS VARCHAR), '')) AS n_near FROM close GROUP BY rid),
+f AS (SELECT doc_id, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(joined, '') AS joined
+  FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid) LEFT JOIN near USING (rid))
+SELECT doc_id, n_words, n_hit, n_items, sha256(joined) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated, n_near FROM f"""
 
 #: Every pair of different sets that have a shingle in common; copies are one node.
 JACCARD = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text", _SPACED)} AS w FROM documents),

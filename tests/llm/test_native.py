@@ -202,18 +202,25 @@ def test_contamination_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((d, *contamination_brute(t, items)) for d, t in texts), key=str)
     assert sum(w[-1] for w in want) > 5
-    assert sorted(map(tuple, D.contamination_digest(frame(spark, texts), bench).collect()), key=str) == want
+    got = D.contamination_digest(frame(spark, texts), bench).collect()
+    assert sorted((r[:6] for r in got), key=str) == want and all(r["n_near"] >= r["n_items"] for r in got)
     assert D.contamination_digest(frame(spark, []), bench).collect() == []
     assert not any(r["contaminated"] for r in D.contamination_digest(frame(spark, texts), spark.createDataFrame([], "item_id long, text string")).collect())
 
 
 def test_contamination_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(D, "bounded", lambda df, rows: df)
+    monkeypatch.setattr(D, "bounded", lambda df, rows, size=0: df)
     items = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")]
     texts = [(1, "zero " + items[0][1]), (2, "one two"), (None, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(((d, *contamination_brute(t, items)) for d, t in texts), key=str)
-    assert sorted(map(tuple, D.contamination_digest(frame(spark, texts), bench).collect()), key=str) == want
+    assert sorted((r[:6] for r in D.contamination_digest(frame(spark, texts), bench).collect()), key=str) == want
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(k, "x" * 1000) for k in range(50)], "a long, b string")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.bounded(df, 50)) and not hinted(common.bounded(df, 49)) and not hinted(common.bounded(df, 50, 10_000)) and hinted(common.bounded(df.select("a"), 50, 1))
 
 
 def test_proximity(spark):
@@ -222,6 +229,7 @@ def test_proximity(spark):
     docs = frame(spark, [(1, " ".join(words[:7] + ["x", "y"] + words[7:])), (2, "w0 " + "z " * 50 + "w1"), (3, " ".join(words))])
     near = D.proximity_matches(D.build_index(docs, bench), 2)
     assert {(r["doc_id"], r["id"]) for r in near.collect()} >= {(3, "1"), (1, "1")} and 2 not in {r["doc_id"] for r in near.collect()}
+    assert {r["doc_id"]: (r["n_items"], r["n_near"]) for r in D.contamination_digest(docs, bench).collect()} == {1: (0, 1), 2: (0, 0), 3: (1, 1)}
 
 
 def test_sharding(spark):
@@ -252,6 +260,38 @@ def test_tree_moves_only_into_what_grew(spark):
     assert 1 not in place(empty).values()
 
 
+def test_placement_brute_force(spark):
+    """Every draw of the tree again, with a library's hash; one id in most rows."""
+    xxhash = pytest.importorskip("xxhash")
+    seeded = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+
+    def draw(key, path, child):
+        h = seeded(key.encode(), 42)
+        h = seeded(path.encode(), h)
+        h = seeded(child.to_bytes(4, "little"), h)
+        return math.log(((h & (1 << 53) - 1) + 0.5) / 2.0**53)
+
+    def shard(key, weights):
+        total = lambda x: sum(map(total, x)) if isinstance(x, tuple) else x
+        pick = lambda path, node: max((draw(key, path, k) / total(w) if total(w) else -math.inf, k) for k, w in enumerate(node))[1]
+        region = pick("", weights)
+        rack = pick(f"{region}/", weights[region])
+        leaf = pick(f"{region}/{rack}/", weights[region][rack])
+        return sum(len(k) for r in weights[:region] for k in r) + sum(map(len, weights[region][:rack])) + leaf
+
+    tree = hash_tree.Tree((((1.0, 2.0), (0.5,)), ((1.0, 1.0, 3.0),)))
+    docs = frame(spark, [(k, f"t{k}") for k in range(300)] + [(7, "x")] * 600 + [(None, None)])
+    rows = hash_tree.shard_documents(docs, tree).collect()
+    assert len(rows) == 901
+    for r in rows:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (shard(key, tree.weights), shard(key, tree.grown().weights))
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_registered(spark):
     assert {n.split("_")[0] for n in registry.QUERIES} >= {"op2", "op6", "op9", "op10"}
 
