@@ -226,15 +226,13 @@ def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percen
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b) that is not the smallest of its component: label is the smallest.
 
-    Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size. Least
-    neighbours are aggregated and joined back, as such a join is split where one node has very many rows.
+    Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size.
     """
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
-        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        large = both.withColumn("m", F.least(F.min("v").over(_by("u")), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.withColumn("m", F.min("v").over(_by("u")))
         # Each node hangs from its least neighbour, and so do the others.
         tree = cut(low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         # Done when every node hangs from one root and no root hangs from another.
