@@ -1,7 +1,8 @@
 """Inner equi-join of orders to items under a chosen physical strategy.
 
 ``auto`` leaves the choice to Catalyst and AQE and is what production code should use. ``broadcast_hash`` and
-``broadcast_nl`` ship the items to every executor, so they measure the items first and refuse above a bound.
+``broadcast_nl`` ship the items to every executor, so they refuse above a bound: by the plan's own statistics, and only where
+these are above it, by a count of the items.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from tallyjoin.functions.scalars import order_value, order_value_exact
 from tallyjoin.schema import require_columns
 
 STRATEGIES = ("auto", "broadcast_hash", "shuffle_hash", "sort_merge", "broadcast_nl", "cartesian")
-#: Rows of items that may be broadcast: about 16 bytes each, doubled in the hash table.
-MAX_BROADCAST_ROWS = 20_000_000
+#: Bytes of items that may be broadcast, and of a row of them (two numbers); the hash table takes about twice as much.
+MAX_BROADCAST_BYTES, ROW_BYTES = 128 << 20, 16
 #: Pairs a nested-loop plan may look at.
 MAX_NESTED_PAIRS = 20_000_000_000
 
@@ -37,6 +38,13 @@ def _within(rows: int, limit: int, what: str) -> None:
         raise ValueError(f"{what}: {rows} is over the limit of {limit}; use strategy 'auto' or 'sort_merge'")
 
 
+def _broadcastable(items: DataFrame) -> DataFrame:
+    """``items`` marked for broadcast, or ValueError. Statistics cost no job; tables without any have a huge size there."""
+    if int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MAX_BROADCAST_BYTES:
+        _within(items.count() * ROW_BYTES, MAX_BROADCAST_BYTES, "bytes of items to broadcast")
+    return F.broadcast(items)
+
+
 def join_orders(
     items: DataFrame,
     orders: DataFrame,
@@ -56,12 +64,11 @@ def join_orders(
     items = dedupe_first(items, position).select("id", "price") if first_match else items.select("id", "price")
     equal: Column = orders["item_id"] == items["id"]
     if strategy in ("broadcast_hash", "broadcast_nl"):
-        _within(n := items.count(), MAX_BROADCAST_ROWS, "items to broadcast")
         if strategy == "broadcast_nl":
-            _within(n * orders.count(), MAX_NESTED_PAIRS, "pairs of a nested loop")
+            _within(items.count() * orders.count(), MAX_NESTED_PAIRS, "pairs of a nested loop")
             # The two bounds say the same as equality but hide the key, so no hash plan is possible.
             equal = (orders["item_id"] >= items["id"]) & (orders["item_id"] <= items["id"])
-        items = F.broadcast(items)
+        items = _broadcastable(items)
     elif strategy == "cartesian":
         _within(items.count() * orders.count(), MAX_NESTED_PAIRS, "pairs of a nested loop")
         items = items.hint("shuffle_replicate_nl")

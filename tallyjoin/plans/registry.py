@@ -13,7 +13,7 @@ from tallyjoin.operators import extras as X
 from tallyjoin.operators.joins import dedupe_first, join_orders, with_value
 from tallyjoin.operators.sketch import approx_distinct, bitmap_estimate
 from tallyjoin.plans.averages import q1, q2
-from tallyjoin.sources.generator import Workload, generate
+from tallyjoin.sources.generator import PRIME, Workload, generate
 from tallyjoin.sources.tables import load, load_items, load_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +62,41 @@ def _half(df: DataFrame, key: str) -> DataFrame:
 GENERATED = Workload(inner_tuples=1_000, inner_selectivity=0.5, outer_tuples=50_000, outer_selectivity=0.5, groups=100, hh_groups=5, hh_probability=0.5)
 
 
-def _first_match(items: DataFrame, orders: DataFrame) -> DataFrame:
+def _mix_sql(position: str, salt: int) -> str:
+    """The generator's arithmetic as SQL."""
+    x = f"(({position} % {PRIME} + {salt}) % {PRIME})"
+    for factor in (48271, 1_103_515_245, 69_621):
+        x = f"(({x} * {factor} + {salt}) % {PRIME})"
+        x = f"(xor({x}, {x} >> 13) % {PRIME})"
+    return x
+
+
+def _generated_sql(load: Workload) -> str:
+    """The tables of generate(), row by row from their positions."""
+    shared = max(1, round(load.inner_tuples * load.inner_selectivity))
+    matching = max(shared, round(load.outer_tuples * load.outer_selectivity))
+    span = lambda salt, size: f"(({_mix_sql('i', salt)} * {size}) // {PRIME})"
+    store = f"CASE WHEN i < {load.groups} THEN i + 1 WHEN {_mix_sql('i', 37)} < {int(load.hh_probability * PRIME)} THEN {span(43, load.hh_groups)} + 1 ELSE {span(41, load.groups)} + 1 END"
+    hit = f"(CASE WHEN i < {shared} THEN i ELSE {span(23, shared)} END) * 2 + 1"
+    return (
+        f"WITH items AS (SELECT i * 2 + CASE WHEN i < {shared} THEN 1 ELSE 2 END AS id, {span(11, load.inner_val_max + 1)} AS price FROM range({load.inner_tuples}) t(i)), "
+        f"orders AS (SELECT CASE WHEN i < {matching} THEN {hit} ELSE ({span(29, load.inner_tuples)} + {load.inner_tuples}) * 2 + 2 END AS item_id, {store} AS store_id, "
+        f"{span(31, load.outer_val_max + 1)} AS quantity FROM range({load.outer_tuples}) t(i)), "
+        "j AS (SELECT store_id, price * quantity AS value FROM orders JOIN items ON id = item_id)"
+    )
+
+
+def _approx_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The exact number of stores, and whether the estimate is within four standard errors of it."""
+    orders, rsd = load_orders(spark, d), 0.05
+    both = orders.agg(F.count_distinct("store_id").alias("exact"), F.approx_count_distinct("store_id", rsd).alias("estimate"))
+    return both.select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 4 * rsd).alias("within"))
+
+
+def _first_match(items: DataFrame, orders: DataFrame, strategy: str = "auto") -> DataFrame:
     """Each item twice, at two prices; only the row at the first position may match."""
     twice = items.select("id", "price", F.lit(0).alias("pos")).unionByName(items.select("id", (F.col("price") + 7).alias("price"), F.lit(1).alias("pos")))
-    return join_orders(twice, orders, first_match=True, position="pos")
+    return join_orders(twice, orders, strategy, first_match=True, position="pos")
 
 
 JOIN_COLUMNS = "item_id, store_id, quantity, price"
@@ -99,6 +130,8 @@ CORE: dict[str, tuple[Query, str | None]] = {
     "join_broadcast_nl": (_tables(lambda i, o: join_orders(i, o, "broadcast_nl")), JOIN_SQL),
     "join_cartesian": (_tables(lambda i, o: join_orders(i, o, "cartesian")), JOIN_SQL),
     "join_first_match": (_tables(_first_match), JOIN_SQL),
+    "join_first_match_hash": (_tables(lambda i, o: _first_match(i, o, "broadcast_hash")), JOIN_SQL),
+    "join_first_match_nl": (_tables(lambda i, o: _first_match(i, o, "broadcast_nl")), JOIN_SQL),
     "agg_global_sum_count": (_values(A.global_sum_count), f"{JOINED} SELECT CAST(SUM(value) AS BIGINT) AS sum_value, COUNT(*) AS n FROM j"),
     "q1_avg_order_value": (_tables(q1), _q1_sql()),
     "q1_outer_half": (_tables(lambda i, o: q1(_half(i, "id"), o)), _q1_sql("item_id % 2 = 0")),
@@ -139,8 +172,12 @@ CORE: dict[str, tuple[Query, str | None]] = {
     "format_commas": (_on_part(lambda: S.commas(F.col("p_partkey") * 1237), "text"), "SELECT p_partkey, format('{:,}', p_partkey * 1237) AS text FROM part"),
     "pcsa_store_estimate": (lambda s, d: bitmap_estimate(load_orders(s, d), "store_id"), SKETCH_SQL),
     "approx_distinct_stores": (lambda s, d: approx_distinct(load_orders(s, d), "store_id"), None),
-    "generated_q1": (lambda s, d: q1(*generate(s, GENERATED)), None),
-    "generated_q2": (lambda s, d: q2(*generate(s, GENERATED)), None),
+    "approx_distinct_bound": (_approx_bound, "SELECT COUNT(DISTINCT l_suppkey) AS exact, TRUE AS within FROM lineitem"),
+    "generated_q1": (lambda s, d: q1(*generate(s, GENERATED)), f"{_generated_sql(GENERATED)} SELECT CAST(SUM(value) // COUNT(*) AS BIGINT) AS avg_value FROM j"),
+    "generated_q2": (
+        lambda s, d: q2(*generate(s, GENERATED)),
+        f"{_generated_sql(GENERATED)}, g AS (SELECT store_id, SUM(value) // COUNT(*) AS a FROM j GROUP BY 1) SELECT CAST(SUM(a) // COUNT(*) AS BIGINT) AS avg_value FROM g",
+    ),
     "unmatched_orders": (_tables(lambda i, o: X.unmatched_orders(_half(i, "id"), o)), f"{WITH} SELECT * FROM orders WHERE item_id % 2 <> 0"),
     "matched_items": (_tables(lambda i, o: X.matched_items(i, o)), f"{WITH} SELECT * FROM items WHERE id IN (SELECT item_id FROM orders)"),
     "outer_store_value": (

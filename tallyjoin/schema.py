@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 ITEMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.LongType())])
 ORDERS = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "store_id", "quantity")])
+# Columns of the experiments' CSV in their order.
 EXPERIMENT = T.StructType(
     [
         T.StructField(name, kind())

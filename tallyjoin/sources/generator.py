@@ -11,9 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PRIME = 2**31 - 1
+PRIME = 2**31 - 1
 
 
+# Names, order and defaults of the parameters are those of the command line that users know.
 @dataclass(frozen=True)
 class Workload:
     inner_tuples: int = 1_000
@@ -49,15 +50,15 @@ class Workload:
 
 def _mix(position: Column, salt: int) -> Column:
     """A value in 0..2**31-2 that looks unrelated to the position; products stay under 2**62."""
-    x = (position % _PRIME + salt) % _PRIME
+    x = (position % PRIME + salt) % PRIME
     for factor in (48271, 1_103_515_245, 69_621):
-        x = (x * factor + salt) % _PRIME
-        x = x.bitwiseXOR(F.shiftright(x, 13)) % _PRIME
+        x = (x * factor + salt) % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 13)) % PRIME
     return x
 
 
 def _span(x: Column, size: int) -> Column:
-    return F.call_function("div", x * F.lit(size).cast("bigint"), F.lit(_PRIME).cast("bigint"))
+    return F.call_function("div", x * F.lit(size).cast("bigint"), F.lit(PRIME).cast("bigint"))
 
 
 def generate(spark: SparkSession, load: Workload) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +84,6 @@ def _store(row: Column, load: Workload) -> Column:
     """Every store once, then a heavy hitter with the given probability, else any store."""
     any_store = _span(_mix(row, 41), load.groups) + 1
     if load.hh_groups:
-        heavy = _mix(row, 37) < F.lit(int(load.hh_probability * _PRIME)).cast("bigint")
+        heavy = _mix(row, 37) < F.lit(int(load.hh_probability * PRIME)).cast("bigint")
         any_store = F.when(heavy, _span(_mix(row, 43), load.hh_groups) + 1).otherwise(any_store)
     return F.when(row < load.groups, row + 1).otherwise(any_store)
