@@ -54,4 +54,43 @@ least_ids AS (SELECT reach.a AS node, min(id) AS component_id FROM reach JOIN ow
 SELECT doc_id, CAST(coalesce(len(shingles), 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM d LEFT JOIN marked USING (rid) LEFT JOIN least_ids USING (node)"""
 
-ORACLES: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op3_ngram_jaccard": JACCARD}
+#: Places of the base phrases, by joining the words of a text with those one and two behind them.
+LICENSE_BASE = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text", _STRICT)} AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS p FROM d),
+two AS (SELECT a.rid, a.p, a.term AS label FROM t a JOIN t b ON b.rid = a.rid AND b.p = a.p + 1 WHERE a.term IN ('mit', 'apache') AND b.term = 'license'),
+three AS (SELECT a.rid, a.p, 'gpl' AS label FROM t a JOIN t b ON b.rid = a.rid AND b.p = a.p + 1 JOIN t c ON c.rid = a.rid AND c.p = a.p + 2
+  WHERE a.term = 'general' AND b.term = 'public' AND c.term = 'license'),
+f AS (SELECT rid, count(*) AS n, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT * FROM two UNION ALL SELECT * FROM three) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN f USING (rid)"""
+
+
+def _either_case(word: str) -> str:
+    """RE2 folds letters beyond ASCII too, so each letter is written in both cases."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEY = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_ASSIGN = rf"""(?:{_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(name: str, kind: int, pattern: str, group: int, least: int) -> str:
+    """CTEs of one kind's matches: a match ends where the gaps and matches up to it end."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""{name}_m AS (SELECT rid, unnest(range(len(h))) AS i, unnest(g[1 : len(h)]) AS gap, unnest(h) AS hit, unnest(v) AS value
+  FROM (SELECT rid, string_split_regex(t, {quoted}) AS g, regexp_extract_all(t, {quoted}) AS h, regexp_extract_all(t, {quoted}, {group}) AS v FROM d) WHERE len(h) > 0),
+{name}_s AS (SELECT rid, {kind} AS kind, '{name}' AS label, value, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i) AS e FROM {name}_m),
+{name} AS (SELECT rid, kind, label, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM {name}_s WHERE length(value) >= {least})"""
+
+
+#: The base spans of the secret scan.
+SECRET_BASE = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans("assign", 0, _ASSIGN, 1, 6)},
+{_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)},
+{_spans("hex", 2, "[0-9a-f]+", 0, 24)},
+f AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS x, string_agg(concat(label, ':', s, ':', e), ',' ORDER BY s, kind) AS joined
+  FROM (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) AS BIGINT) AS n_access, CAST(coalesce(x, 0) AS BIGINT) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256
+FROM d LEFT JOIN f USING (rid)"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op3_ngram_jaccard": JACCARD, "license_scan_base": LICENSE_BASE, "secret_scan_base": SECRET_BASE}

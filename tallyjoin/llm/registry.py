@@ -66,7 +66,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op8_nearest_neighbours, op9_secret_scan, op10_sharding)
-}
+def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_secret_scan(spark, sf_dir).drop("spans")
+
+
+_ALL = (op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language_id, op5_byte_bpe, op6_license_scan, op7_quality, op8_nearest_neighbours, op9_secret_scan, op10_sharding)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_ALL, license_scan_base, secret_scan_base)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
