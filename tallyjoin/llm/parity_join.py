@@ -251,11 +251,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = stored(sketch(docs, words, percent), folder, "sketches")
     leads = rows.where(F.col("keys").isNotNull())
     offered = leads.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node")
-    sizes = offered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
-    shared = stored(sizes.where("low < high").select("key", "size"), folder, "shared")
-    buckets = stored(offered.join(bounded(shared.select("key"), ID_ROWS), "key", "left_semi").distinct(), folder, "buckets")
-    hot = shared.where(F.col("size") > HOT).select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts"))
-    hot = bounded(hot, ID_ROWS)
+    # Nearly all keys have one node, so sizes are counted for the shared ones alone.
+    ends = offered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = stored(ends.where("low < high").select("key"), folder, "shared")
+    buckets = stored(offered.join(bounded(shared, ID_ROWS), "key", "left_semi").distinct(), folder, "buckets")
+    hot = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT)
+    hot = bounded(cut(hot.select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts"))), ID_ROWS)
     involved = buckets.select("node").distinct()
     sketches = cut(leads.join(involved, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"), F.min(_first_row()).alias("row"))
@@ -342,12 +343,14 @@ def _apart(parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """
     labels = parts.select("key", "label").distinct()
     ranked = labels.withColumn("rank", F.row_number().over(_by("key").orderBy("label")) - 1)
-    depth = labels.groupBy("key").agg(F.length(F.bin(F.count(F.lit(1)) - 1)).alias("depth"))
-    ranked = ranked.join(depth, "key")
+    ranked = ranked.join(labels.groupBy("key").agg(F.count(F.lit(1)).alias("groups")), "key")
     before = _by("node").orderBy("key").rowsBetween(-PRIOR_KEYS, -1)
-    held = parts.withColumn("prior", F.collect_list("key").over(before)).join(ranked, ["key", "label"])
-    held = held.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("depth") - 1))).withColumn("above", F.expr("shiftright(rank, bit + 1)"))
-    held = held.withColumn("side", F.expr("shiftright(rank, bit) & 1")).drop("label", "rank", "depth").join(sketches, "node")
+    # The narrow join comes first: prior keys and sketches are added by node, side by side, and shuffled once.
+    held = parts.join(ranked, ["key", "label"]).drop("label").withColumn("prior", F.collect_list("key").over(before)).join(sketches, "node")
+    held = held.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("groups") - 1)) - 1)))
+    held = held.withColumn("above", F.expr("shiftright(rank, bit + 1)")).withColumn("side", F.expr("shiftright(rank, bit) & 1"))
+    # The least number that could stand against side 0; where no group has it, nothing does.
+    held = held.where("side = 1 OR shiftleft(2 * above + 1, bit) < groups").drop("rank", "groups")
     a, b = held.where("side = 0").alias("a"), held.where("side = 1").alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.bit") == F.col("b.bit")) & (F.col("a.above") == F.col("b.above"))
     once = ~F.arrays_overlap("a.prior", "b.prior")
