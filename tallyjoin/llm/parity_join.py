@@ -251,12 +251,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = stored(sketch(docs, words, percent), folder, "sketches")
     leads = rows.where(F.col("keys").isNotNull())
     offered = leads.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node")
-    # Nearly all keys have one node, so sizes are counted for the shared ones alone.
-    ends = offered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = stored(ends.where("low < high").select("key"), folder, "shared")
-    buckets = stored(offered.join(bounded(shared, ID_ROWS), "key", "left_semi").distinct(), folder, "buckets")
-    hot = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT)
-    hot = bounded(cut(hot.select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts"))), ID_ROWS)
+    # Nearly all keys are offered once: first keys alone are counted, and nodes (a copy may have been told by several tasks) for the rest.
+    again = offered.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    kept = stored(offered.join(bounded(stored(again, folder, "again"), ID_ROWS), "key", "left_semi").distinct(), folder, "kept")
+    sizes = cut(kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    buckets = stored(kept.join(bounded(sizes.select("key"), ID_ROWS), "key", "left_semi"), folder, "buckets")
+    hot = bounded(sizes.where(F.col("size") > HOT).select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts")), ID_ROWS)
     involved = buckets.select("node").distinct()
     sketches = cut(leads.join(involved, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("own"), F.min(_first_row()).alias("row"))
