@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of steps whose results are written: its cleaner hears of them only when
+    the driver collects its garbage, which a driver with little to do may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes; otherwise itself, and the join shuffles.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyjoin.llm.arrow import blocks, texts, tidied
-from tallyjoin.llm.common import bounded, cut, shared_folder, small_batches
+from tallyjoin.llm.common import bounded, cut, discard, release, shared_folder, small_batches
 
 #: Words of a shingle and the similarity of a link, in hundredths.
 WORDS, PERCENT = 4, 85
@@ -256,6 +256,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     kept = stored(offered.join(bounded(stored(again, folder, "again"), ID_ROWS), "key", "left_semi").distinct(), folder, "kept")
     sizes = cut(kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     buckets = stored(kept.join(bounded(sizes.select("key"), ID_ROWS), "key", "left_semi"), folder, "buckets")
+    for name in ("again", "kept"):
+        discard(spark, f"{folder}/{name}")
+    release(spark)
     hot = bounded(sizes.where(F.col("size") > HOT).select("key", F.ceil(F.col("size") / HOT).cast("int").alias("parts")), ID_ROWS)
     involved = buckets.select("node").distinct()
     sketches = cut(leads.join(involved, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
@@ -281,6 +284,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             nearest = _by("a").orderBy("d", "centre")
             near = near.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= STARS[turn])
         pairs = cut(near.select("a", "centre"))
+        release(spark)
         if pairs.isEmpty():
             continue
         needed = pairs.select("a").union(pairs.select("centre")).distinct().withColumnRenamed("a", "node")
@@ -291,6 +295,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected(edges.select("a", F.col("centre").alias("b")))
+        release(spark)
 
     least = least.select("node", "own")
     if labels is not None:
