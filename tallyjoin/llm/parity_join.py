@@ -235,6 +235,7 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.withColumn("m", F.min("v").over(_by("u")))
         # Each node hangs from its least neighbour, and so do the others.
         tree = cut(low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
+        release(edges.sparkSession)
         # Done when every node hangs from one root and no root hangs from another.
         ends = tree.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(tree.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("root")))
         if ends.groupBy("u").agg(F.sum("hangs").alias("h"), F.max("root").alias("r")).where("h > 1 OR h = 1 AND r = 1").isEmpty():
@@ -272,6 +273,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             parts = parts.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
             span = parts.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
             parts = cut(parts.join(span, "key", "left_semi"))
+            release(spark)
         else:
             parts = parts.withColumn("label", F.col("node"))
         pairs = _against_centres(parts, hot, turn) if turn < len(STARS) else _apart(parts, sketches, percent)
@@ -292,6 +294,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         texts_ = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
         texts_ = texts_.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
         found = cut(verified(pairs, texts_.select("node", "text").dropDuplicates(["node"]), words, percent))
+        release(spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = connected(edges.select("a", F.col("centre").alias("b")))
