@@ -2,7 +2,8 @@
 
 ``auto`` leaves the choice to Catalyst and AQE and is what production code should use. ``broadcast_hash`` and
 ``broadcast_nl`` ship the items to every executor, so they refuse above a bound: by the plan's own statistics, and only where
-these are above it, by a count of the items.
+these are above it, by a count of the items. Inner nested loops go over blocks of neighbouring keys, so that only pairs of blocks
+whose keys overlap are compared row by row; any other join under ``broadcast_nl`` looks at every pair.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from tallyjoin.schema import require_columns
 STRATEGIES = ("auto", "broadcast_hash", "shuffle_hash", "sort_merge", "broadcast_nl", "cartesian")
 #: Bytes of items that may be broadcast, and of a row of them (two numbers); the hash table takes about twice as much.
 MAX_BROADCAST_BYTES, ROW_BYTES = 128 << 20, 16
-#: Pairs a nested-loop plan may look at.
+#: Pairs a cartesian plan may look at.
 MAX_NESTED_PAIRS = 20_000_000_000
+#: Rows of a block, and blocks of a group of them, as a power of two.
+BLOCK_BITS = 7
 
 
 def dedupe_first(items: DataFrame, position: str | None = None) -> DataFrame:
@@ -38,11 +41,30 @@ def _within(rows: int, limit: int, what: str) -> None:
         raise ValueError(f"{what}: {rows} is over the limit of {limit}; use strategy 'auto' or 'sort_merge'")
 
 
-def _broadcastable(items: DataFrame) -> DataFrame:
-    """``items`` marked for broadcast, or ValueError. Statistics cost no job; tables without any have a huge size there."""
+def _broadcastable(items: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """``items``, or their blocks, marked for broadcast, or ValueError. Statistics cost no job; tables without any have a huge size there."""
     if int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MAX_BROADCAST_BYTES:
         _within(items.count() * ROW_BYTES, MAX_BROADCAST_BYTES, "bytes of items to broadcast")
-    return F.broadcast(items)
+    return F.broadcast(items if packed is None else packed)
+
+
+def _blocks(df: DataFrame, key: str) -> DataFrame:
+    """All rows with a ``key``, packed in blocks: number, least and greatest key, rows. Every column sorts, so equal input gives equal blocks."""
+    order = [F.col(key)] + [F.col(f"`{c}`") for c, kind in df.dtypes if c != key and "map<" not in kind and kind != "variant"]
+    near = df.where(F.col(key).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = near.select(F.struct("*").alias("_row"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("_block"))
+    ends = F.min(F.col("_row")[key]).alias("_low"), F.max(F.col("_row")[key]).alias("_high")
+    return rows.groupBy("_block").agg(*ends, F.collect_list("_row").alias("_rows"))
+
+
+def _broadcast_loop(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Each order against all groups of blocks of items, the blocks of those that may hold its key, and the items of these."""
+    ends = F.min("_low").alias("_least"), F.max("_high").alias("_greatest")
+    groups = _blocks(items, "id").groupBy(F.shiftright("_block", BLOCK_BITS)).agg(*ends, F.collect_list(F.struct("_low", "_high", "_rows")).alias("_blocks"))
+    groups = _broadcastable(items, groups.select("_least", "_greatest", "_blocks"))
+    near = orders.join(groups, orders["item_id"].between(groups["_least"], groups["_greatest"])).select(orders["*"], F.explode("_blocks").alias("_near"))
+    near = near.where(F.col("item_id").between(F.col("_near._low"), F.col("_near._high")))
+    return near.select("*", F.explode("_near._rows").alias("_item")).where("item_id = _item.id").select("*", "_item.price").drop("_near", "_item")
 
 
 def join_orders(
@@ -63,9 +85,10 @@ def join_orders(
     require_columns(orders, ["item_id", "quantity"], "orders")
     items = dedupe_first(items, position).select("id", "price") if first_match else items.select("id", "price")
     equal: Column = orders["item_id"] == items["id"]
+    if strategy == "broadcast_nl" and how == "inner":
+        return _broadcast_loop(items, orders)
     if strategy in ("broadcast_hash", "broadcast_nl"):
         if strategy == "broadcast_nl":
-            _within(items.count() * orders.count(), MAX_NESTED_PAIRS, "pairs of a nested loop")
             # The two bounds say the same as equality but hide the key, so no hash plan is possible.
             equal = (orders["item_id"] >= items["id"]) & (orders["item_id"] <= items["id"])
         items = _broadcastable(items)

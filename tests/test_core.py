@@ -83,6 +83,24 @@ def test_strategies_agree_and_plan_as_named(spark, strategy):
         assert PLANS[strategy] in operators_of(df)
 
 
+def _many(spark):
+    """Over 20 billion pairs: three items of the id 7 with over 1,000 orders, negative, NULL and unmatched keys."""
+    items = spark.range(-500, 150_000).select("id", (F.col("id") * 3 + 5).alias("price")).unionByName(items_from_rows(spark, [(7, 1), (7, 1), (None, 9)]))
+    keys = spark.range(0, 140_000).select(F.col("id").alias("item_id")).unionByName(spark.range(1_000).select(F.lit(7).cast("bigint").alias("item_id")))
+    keys = keys.unionByName(spark.createDataFrame([(None,), (-500,), (-501,), (900_000,), (7,)], "item_id long"))
+    return items, keys.select("item_id", (F.col("item_id") % 11).alias("store_id"), (F.col("item_id") % 50).alias("quantity"))
+
+
+@pytest.mark.parametrize("strategy", ["broadcast_nl"])
+def test_nested_loops_do_the_whole_job(spark, strategy):
+    items, orders = _many(spark)
+    assert items.count() * orders.count() > 20_000_000_000
+    want, got = join_orders(items, orders, "sort_merge"), join_orders(items, orders, strategy)
+    assert got.columns == want.columns and got.count() == want.count() == 139_999 + 3 * 1_002 + 1
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert PLANS[strategy] in operators_of(got)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_partitions_do_not_matter(spark, parts):
     items, orders = load_items(spark, SF), load_orders(spark, SF).repartition(parts)
