@@ -17,10 +17,8 @@ from tallyjoin.schema import require_columns
 STRATEGIES = ("auto", "broadcast_hash", "shuffle_hash", "sort_merge", "broadcast_nl", "cartesian")
 #: Bytes of items that may be broadcast, and of a row of them (two numbers); the hash table takes about twice as much.
 MAX_BROADCAST_BYTES, ROW_BYTES = 128 << 20, 16
-#: Pairs a cartesian plan may look at.
-MAX_NESTED_PAIRS = 20_000_000_000
-#: Rows of a block, and blocks of a group of them, as a power of two.
-BLOCK_BITS = 7
+#: Rows of a block, and blocks of a group of them, as a power of two; partitions of the blocks that a cartesian product repeats.
+BLOCK_BITS, REPEATED = 7, 4
 
 
 def dedupe_first(items: DataFrame, position: str | None = None) -> DataFrame:
@@ -67,6 +65,15 @@ def _broadcast_loop(items: DataFrame, orders: DataFrame) -> DataFrame:
     return near.select("*", F.explode("_near._rows").alias("_item")).where("item_id = _item.id").select("*", "_item.price").drop("_near", "_item")
 
 
+def _cartesian_loop(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Blocks of orders against all blocks of items, each order of a block against each item of those that may hold its key."""
+    few = _blocks(items, "id").select(F.col("_low").alias("_least"), F.col("_high").alias("_greatest"), F.col("_rows").alias("_items")).repartition(REPEATED)
+    many = _blocks(orders, "item_id")
+    near = many.join(few.hint("shuffle_replicate_nl"), (many["_low"] <= few["_greatest"]) & (many["_high"] >= few["_least"]))
+    pairs = near.select(F.explode("_rows").alias("_order"), "_items").select("_order", F.explode("_items").alias("_item"))
+    return pairs.where("_order.item_id = _item.id").select("_order.*", "_item.price")
+
+
 def join_orders(
     items: DataFrame,
     orders: DataFrame,
@@ -87,16 +94,15 @@ def join_orders(
     equal: Column = orders["item_id"] == items["id"]
     if strategy == "broadcast_nl" and how == "inner":
         return _broadcast_loop(items, orders)
+    if strategy == "cartesian" and how == "inner":
+        return _cartesian_loop(items, orders)
     if strategy in ("broadcast_hash", "broadcast_nl"):
         if strategy == "broadcast_nl":
             # The two bounds say the same as equality but hide the key, so no hash plan is possible.
             equal = (orders["item_id"] >= items["id"]) & (orders["item_id"] <= items["id"])
         items = _broadcastable(items)
-    elif strategy == "cartesian":
-        _within(items.count() * orders.count(), MAX_NESTED_PAIRS, "pairs of a nested loop")
-        items = items.hint("shuffle_replicate_nl")
     elif strategy != "auto":
-        items = items.hint({"shuffle_hash": "shuffle_hash", "sort_merge": "merge"}[strategy])
+        items = items.hint({"shuffle_hash": "shuffle_hash", "sort_merge": "merge", "cartesian": "shuffle_replicate_nl"}[strategy])
     return orders.join(items, equal, how).drop("id")
 
 

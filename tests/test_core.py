@@ -91,7 +91,7 @@ def _many(spark):
     return items, keys.select("item_id", (F.col("item_id") % 11).alias("store_id"), (F.col("item_id") % 50).alias("quantity"))
 
 
-@pytest.mark.parametrize("strategy", ["broadcast_nl"])
+@pytest.mark.parametrize("strategy", ["broadcast_nl", "cartesian"])
 def test_nested_loops_do_the_whole_job(spark, strategy):
     items, orders = _many(spark)
     assert items.count() * orders.count() > 20_000_000_000
