@@ -101,6 +101,14 @@ def test_nested_loops_do_the_whole_job(spark, strategy):
     assert PLANS[strategy] in operators_of(got)
 
 
+def test_first_match_by_nested_loop_does_the_whole_job(spark):
+    items, orders = _many(spark)
+    first = [join_orders(items, orders, strategy, first_match=True) for strategy in ("sort_merge", "broadcast_nl")]
+    assert [df.count() for df in first] == [139_999 + 1_002 + 1] * 2
+    assert first[0].exceptAll(first[1]).isEmpty() and first[1].exceptAll(first[0]).isEmpty()
+    assert {r["price"] for r in first[1].where("item_id = 7").collect()} == {1}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_partitions_do_not_matter(spark, parts):
     items, orders = load_items(spark, SF), load_orders(spark, SF).repartition(parts)
