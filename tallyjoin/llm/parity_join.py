@@ -35,6 +35,8 @@ DENSE, SALT, ID_ROWS = 8, 2000, 2_000_000
 #: Rounds of tests against centres before all pairs still apart are tested: how many centres a node is held against in each,
 #: and how many of a node's buckets and of a bucket's centres are looked at for them.
 STARS, STAR_KEYS, STAR_CENTRES = (2, 2), 6, 4
+#: Edges whose components one task finds: 16 bytes each, and a few times that while it works.
+EDGE_ROWS = 1_000_000
 #: Earlier keys that a row carries in the last round; rows of a bucket that one task is given at most.
 PRIOR_KEYS, HOT = 16, 20_000
 
@@ -223,9 +225,44 @@ def verified(pairs: DataFrame, node_texts: DataFrame, words: int = WORDS, percen
     return rows.mapInArrow(tidied(run), "a bigint, centre bigint")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, label) for every node of the edges (a, b) that is not the smallest of its component: label is the smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        apart = low < high
+        if not apart.any():
+            hangs = root < np.arange(len(nodes))
+            return nodes[hangs], nodes[root[hangs]]
+        # Each root hangs from its least neighbouring root, then every node from the root above it.
+        np.minimum.at(root, high[apart], low[apart])
+        u, v = u[apart], v[apart]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected(edges: DataFrame, rows: int = EDGE_ROWS) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b) that is not the smallest of its component: label is the smallest.
 
+    Up to ``rows`` edges are joined up in one task, which needs no rounds of shuffles; more of them by the whole cluster.
+    """
+    if edges.limit(rows + 1).count() > rows:
+        return _by_stars(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            found = least_labels(*(np.concatenate(side) for side in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "label"])
+
+    return cut(edges.select("a", "b").repartition(1).mapInArrow(tidied(run), "node bigint, label bigint"))
+
+
+def _by_stars(edges: DataFrame) -> DataFrame:
+    """connected() for any number of edges.
+
     Large-star and small-star steps, each written out; their number grows with the logarithm of a component's size.
     """
     tree = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

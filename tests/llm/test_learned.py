@@ -209,6 +209,32 @@ def test_jaccard_join_brute_force(spark, words, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, n, c in got if d == c})
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(-150, 150)] + [(10**15, -(10**14) - k) for k in range(200)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)] + [(5, 5), (-7, -7), (7000, 7000)]
+    least = {}
+
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        least[high] = low
+    want = {(x, root(x)) for x in least if root(x) != x}
+    df, context = spark.createDataFrame(edges, "a long, b long").repartition(7).checkpoint(), spark.sparkContext
+    jobs = {}
+    for ways in ({}, {"rows": len(edges)}, {"rows": len(edges) - 1}):
+        context.setJobGroup(f"components {ways}", "")
+        got = [tuple(r) for r in parity_join.connected(df, **ways).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        jobs[str(ways)] = len(context.statusTracker().getJobIdsForGroup(f"components {ways}"))
+        assert ways.get("rows") == len(edges) - 1 or jobs[str(ways)] <= 6, jobs
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert parity_join.connected(df.limit(0)).isEmpty()
+
+
 def test_keep_one_where_ids_repeat_or_lack(spark):
     """Groups are told apart by their links, not by ids: each keeps exactly one row."""
     rng = random.Random(9)
